@@ -33,6 +33,11 @@ def hex_uniform(digest: Column, start: int = 1) -> Column:
     )
 
 
+def uniform_sql(digest: str, start: int = 1) -> str:
+    """``hex_uniform`` as SQL text."""
+    return f"(cast(conv(substr({digest}, {start}, 13), 16, 10) as bigint) + 0.5D) / {float(2**52)!r}D"
+
+
 def digest(*parts) -> Column:
     """md5 of the parts joined by ``|``: the same draw whatever the partitioning."""
     return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))

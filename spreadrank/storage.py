@@ -53,13 +53,15 @@ def checkpoint_partitioned(df: DataFrame, parts: int, keys: list[str]) -> DataFr
     """Checkpoint ``df`` hashed and sorted by ``keys``, keeping that layout known to the planner.
 
     Joins on ``keys`` then neither shuffle nor sort this side again. The layout is only kept for a
-    plan that is fixed up front, so adaptive planning is off while the checkpoint is written.
+    plan that is fixed up front, so adaptive planning is off while the checkpoint is written. The
+    result is also cached; what an executor takes with it is read from the checkpoint again. The
+    caller unpersists it.
     """
     spark = df.sparkSession
     work_dir(spark)
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return df.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint()
+        return df.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint().persist()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadrank.functions.columns import digest, hex_uniform
+# Modulus and factors of the multiplicative hash of event ids.
+MODULUS = 2147483647
 
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     accounts = events.agg(F.floor((F.max("user_id") + 1) * 11 / 10).alias("n")).scalar()
-    draw = hex_uniform(digest("dst", F.col("event_id")))
-    target = F.floor(draw * draw * accounts)
+    mixed = F.col("event_id") % MODULUS * 48271 % MODULUS * 69621 % MODULUS
+    target = F.floor(F.pow(mixed / F.lit(float(MODULUS)), F.lit(2.0)) * accounts)
     user = F.col("user_id").cast("string")
     return (
         events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))

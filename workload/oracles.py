@@ -7,15 +7,17 @@ def uniform(text: str, start: int = 1) -> str:
     return f"((('0x' || substr({text}, {start}, 13))::bigint + 0.5) / 4503599627370496.0)"
 
 
-RAW = f"""
+RAW = """
 accounts as (select ((max(user_id) + 1) * 11) // 10 n from events),
 drawn as (
-  select *, cast(props->>'$.k' as int) k, {uniform("md5('dst|' || event_id)")} d from events),
+  select *, cast(props->>'$.k' as int) k,
+         (event_id % 2147483647 * 48271 % 2147483647 * 69621 % 2147483647) / 2147483647.0::double d
+  from events),
 raw as (
   select case when k <> 13
               then event_type || '-' || strftime(ts, '%Y%m%d') || '-' || user_id end tweet_id,
          'u' || user_id src_user_id,
-         case when event_id % 67 <> 0 then 'u' || cast(floor(d * d * n) as bigint) end dst_user_id,
+         case when event_id % 67 <> 0 then 'u' || cast(floor(pow(d, 2.0) * n) as bigint) end dst_user_id,
          event_type interaction_type,
          case when k < 50 then 'fake' when k < 75 then 'unverified' when k < 95 then 'real'
               else 'satire' end veracity,
