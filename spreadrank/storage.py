@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -49,8 +50,9 @@ def partitions_for(spark: SparkSession, rows: int, row_bytes: int) -> int:
     return max(1, by_size, by_cores)
 
 
-def checkpoint_partitioned(df: DataFrame, parts: int, keys: list[str]) -> DataFrame:
-    """Checkpoint ``df`` hashed and sorted by ``keys``, keeping that layout known to the planner.
+def checkpoint_grouped(df: DataFrame, parts: int, keys: list[str], groups: list[str], value: str) -> DataFrame:
+    """Collect ``value`` per ``groups`` (which begin with ``keys``) into the array ``entries``, and
+    checkpoint the result hashed and sorted by ``keys``, a layout the planner knows of.
 
     Joins on ``keys`` then neither shuffle nor sort this side again. The layout is only kept for a
     plan that is fixed up front, so adaptive planning is off while the checkpoint is written. The
@@ -62,6 +64,12 @@ def checkpoint_partitioned(df: DataFrame, parts: int, keys: list[str]) -> DataFr
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return df.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint().persist()
+        grouped = (
+            df.repartition(parts, *keys)
+            .groupBy(*groups)
+            .agg(F.collect_list(value).alias("entries"))
+            .select(*keys, "entries")
+        )
+        return grouped.sortWithinPartitions(*keys).checkpoint().persist()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
