@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+from collections import Counter
+
+import pytest
+
+from spreadrank.operators import walks as w
+from spreadrank.operators.graph import graph_from_edges
+from spreadrank.params import SkewLimits
+from tests.test_graph import brute_force
+
+TINY = SkewLimits(min_rows=1, max_hot=100)
+
+
+def lists(walks):
+    return {r.walk_id: tuple(r.walk) for r in w.walk_arrays(walks).collect()}
+
+
+@pytest.fixture(scope="module")
+def hub(spark):
+    """A hub with two thirds of the edges, one edge with half of its weight, and links back."""
+    rows = [("hub", f"n{i}", 40.0 if i == 0 else 1.0 + i % 3) for i in range(40)]
+    rows += [(f"n{i}", "hub", 1.0) for i in range(0, 40, 3)]
+    rows += [(f"n{i}", f"n{(i * 7 + 1) % 40}", 0.5) for i in range(0, 40, 2) if (i * 7 + 1) % 40 != i]
+    return graph_from_edges(spark.createDataFrame(rows, "src string, dst string, weight double"))
+
+
+def test_walks_follow_edges(five):
+    walks = lists(w.generate_walks(five, num_walks=3, walk_length=6))
+    edges = {(r.src, r.dst) for r in five.edges.collect()}
+    assert len(walks) == 15
+    for walk_id, walk in walks.items():
+        assert walk[0] == walk_id.split("#")[0]
+        assert all(step in edges for step in zip(walk, walk[1:]))
+        assert len(walk) == 6 or walk[-1] == "e"
+    assert all(walk == ("e",) for i, walk in walks.items() if i.startswith("e#"))
+
+
+def test_walks_do_not_depend_on_the_layout(spark, hub, monkeypatch):
+    usual = lists(w.generate_walks(hub, 4, 8))
+    assert lists(w.generate_walks(hub, 4, 8, limits=TINY)) == usual
+    monkeypatch.setattr(w, "partitions_for", lambda *a: 3)
+    monkeypatch.setattr(w, "CELLS_PER_TASK", 2)
+    monkeypatch.setattr(w, "ROUNDS_PER_WRITE", 1)
+    assert lists(w.generate_walks(hub, 4, 8)) == usual
+    monkeypatch.setattr(w, "EDGES_PER_CELL", 1)
+    monkeypatch.setattr(w, "EDGES_PER_ROW", 2)
+    assert lists(w.generate_walks(hub, 4, 8)) == usual
+
+
+def test_shares_of_a_hub_do_not_depend_on_its_slices(hub):
+    def shares(limits):
+        rows = w.cumulative_shares(hub.edges, hub.n_edges, limits).collect()
+        return {(r.src, r.dst): (round(r.lo, 12), round(r.hi, 12), r.degree) for r in rows}
+
+    whole = shares(SkewLimits())
+    assert shares(SkewLimits(min_rows=5, max_hot=100)) == whole
+    parts = sorted((lo, hi) for (src, _), (lo, hi, _) in whole.items() if src == "hub")
+    assert parts[0][0] == 0.0 and parts[-1][1] == 1.0
+    assert all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
+
+
+def test_wide_edges_are_listed_in_pieces(hub):
+    shares = w.cumulative_shares(hub.edges, hub.n_edges).withColumnRenamed("degree", "cells")
+
+    def cells(per_task):
+        return sorted(w.list_cells(shares, hub.n_edges, per_task).select("src", "dst", "cell").collect())
+
+    assert cells(2) == cells(10_000)
+
+
+@pytest.mark.parametrize("p,q", [(1.0, 0.5), (4.0, 0.5), (0.25, 2.0), (0.5, 1.0)])
+def test_second_steps_follow_the_biased_probabilities(five, p, q):
+    walks = lists(w.generate_walks(five, num_walks=3000, walk_length=3, p=p, q=q, seed=7))
+    _, moves = brute_force([tuple(r) for r in five.edges.collect()], p, q)
+    seen = Counter(walk for walk in walks.values() if len(walk) == 3)
+    states = Counter(walk[:2] for walk in seen.elements())
+    for move, (_, prob) in moves.items():
+        n = states[move[:2]]
+        assert abs(seen[move] - n * prob) < 4.5 * (n * prob * (1 - prob)) ** 0.5 + 1
+
+
+def test_first_steps_follow_the_weights(hub):
+    walks = lists(w.generate_walks(hub, num_walks=2000, walk_length=2, q=1.0))
+    firsts = Counter(walk[1] for i, walk in walks.items() if i.startswith("hub#"))
+    total = sum(r.weight for r in hub.edges.collect() if r.src == "hub")
+    prob = 40.0 / total
+    assert abs(firsts["n0"] - 2000 * prob) < 4.5 * (2000 * prob * (1 - prob)) ** 0.5
+
+
+def test_vocabulary_counts_every_node(five):
+    walks = w.generate_walks(five, 2, 5)
+    counts = {r.node: r.frequency for r in w.vocabulary(walks).collect()}
+    assert set(counts) == {"a", "b", "c", "d", "e"}
+    assert sum(counts.values()) == walks.count()
