@@ -10,7 +10,7 @@ way to enumerate triangles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadrank.operators.graph import Graph, out_totals
@@ -85,9 +85,13 @@ def _shared_weight(graph: Graph, states: DataFrame, limits: SkewLimits) -> DataF
     other = graph.edges.select(
         F.col("src").alias("far"), "dst", F.col("weight").alias("far_weight")
     )
-    met = salted_join(ends, near, ["near"], ["prev", "cur"], graph.n_edges, limits).join(
-        other, ["far", "dst"]
-    )
+    met = salted_join(ends, near, ["near"], ["prev", "cur"], graph.n_edges, limits)
+    # One row per successor of the smaller end. Many of them can ask for the same edge of a hub.
+    least = F.sum(F.least("prev_degree", "cur_degree"))
+    rows = states.agg(F.coalesce(least, F.lit(0))).first()[0]
+    if rows > limits.min_rows:
+        met = materialize(met, "met")
+    met = lookup(met, other, ["far", "dst"], rows, limits=limits)
     from_cur = F.when(F.col("from_prev"), F.col("far_weight")).otherwise(F.col("near_weight"))
     return met.groupBy("prev", "cur").agg(F.sum(from_cur).alias("shared"))
 
@@ -103,7 +107,8 @@ def transition_bias(
 
     Transitions whose ``cur -> dst`` is no edge are left out.
     """
-    moves = transitions.select("prev", "cur", "dst").distinct()
+    moves = materialize(transitions.select("prev", "cur", "dst").distinct(), "moves")
+    rows = moves.count()
     weights = graph.edges.select(F.col("src").alias("cur"), "dst", "weight")
     known = graph.edges.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("common"))
     totals = second_order_totals(graph, p, q, limits).select("prev", "cur", "total")
@@ -112,18 +117,14 @@ def transition_bias(
         .when(F.col("common"), F.col("weight"))
         .otherwise(F.col("weight") / q)
     )
-    return (
-        moves.join(weights, ["cur", "dst"])
-        .join(known, ["prev", "dst"], "left")
-        .join(totals, ["prev", "cur"])
-        .select("prev", "cur", "dst", bias.alias("bias"), (bias / F.col("total")).alias("prob"))
-    )
+    moves = lookup(moves, weights, ["cur", "dst"], rows, limits=limits)
+    moves = lookup(moves, known, ["prev", "dst"], rows, "left", limits)
+    moves = lookup(moves, totals, ["prev", "cur"], rows, limits=limits)
+    return moves.select("prev", "cur", "dst", bias.alias("bias"), (bias / F.col("total")).alias("prob"))
 
 
 def observed_transitions(walks: DataFrame) -> DataFrame:
     """Distinct ``(prev, cur, dst)`` that occur in walks; a window group is one walk."""
-    from pyspark.sql import Window
-
     along = Window.partitionBy("walk_id").orderBy("step")
     return (
         walks.select(

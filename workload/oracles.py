@@ -257,6 +257,8 @@ from seen join shared using (prev, cur, dst)""",
 select src, dst, round(weight, 6) weight from e
 where src in (select id from chosen) and dst in (select id from chosen)""",
     "ego_network": f"with {EGO} select src, dst, round(weight, 6) weight from ego_edges",
+    "successors": f"""with {SCORES}
+select src, dst, round(weight, 6) weight from e where src in (select id from top)""",
     "embedding_norm": f"with {VECTORS} select id, round(emb_norm, 6) emb_norm from norms",
     "most_similar": f"""with {VECTORS}, wanted as (select vector w from vectors where id = 'u7')
 select id, round(list_cosine_similarity(vector, w), 6) similarity

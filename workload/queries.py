@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spreadrank.operators import community, embedding, graph, pagerank, scoring, subgraph, walks
 from spreadrank.operators import second_order
 from spreadrank.operators.cleaning import clean_interactions
+from spreadrank.operators.skipgram import train_skipgram
 from spreadrank.params import Params
 from spreadrank.plans import communities, influence, preprocess, run
 from spreadrank.sources.random_graph import random_graph
@@ -208,6 +209,17 @@ def q_random_graph(spark, sf):
     return random_graph(spark, n, edge_prob=min(0.15, 15.0 / n))
 
 
+def q_successors(spark, sf):
+    g = graph_of(spark, sf)
+    best = subgraph.best_nodes(influence_of(spark, sf, g), 10)
+    return rounded(graph.successors(g, best), "weight")
+
+
+def q_skipgram(spark, sf):
+    short = walks.generate_walks(graph_of(spark, sf), **SHORT_WALKS)
+    return train_skipgram(short, walks.vocabulary(short), dim=16, epochs=1, batches=3)
+
+
 def q_node2vec(spark, sf):
     return embedding.run_node2vec(graph_of(spark, sf))
 
@@ -267,6 +279,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "plot_points": q_plot_points,
     "plot_bars": q_plot_bars,
     "random_graph": q_random_graph,
+    "successors": q_successors,
+    "skipgram_in_tables": q_skipgram,
     "node2vec_vectors": q_node2vec,
     "kmeans_clusters": q_kmeans,
     "pca_points": q_pca,
