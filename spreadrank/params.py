@@ -16,7 +16,7 @@ class SkewLimits:
     keys can be, so a table with one row per hot key is small enough to broadcast at any scale.
     """
 
-    min_rows: int = 1_000_000
+    min_rows: int = 10_000_000
     max_hot: int = 100_000
 
     def threshold(self, rows: int) -> int:
