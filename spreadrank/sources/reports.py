@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 
 
 def save_report(df: DataFrame, path: str, fmt: str = "csv") -> str:
-    """Write a ranked table, ``rank`` first, replacing what is there. Returns the path."""
+    """Write a table below ``path``, replacing what is there, and return the path.
+
+    A ranked table is written in order, with the rank as its first column.
+    """
     if "rank" in df.columns:
-        df = df.select("rank", *[c for c in df.columns if c != "rank"])
+        df = df.select("rank", *[c for c in df.columns if c != "rank"]).orderBy("rank")
     writer = df.write.mode("overwrite")
     if fmt == "csv":
         writer.option("header", True).csv(path)
