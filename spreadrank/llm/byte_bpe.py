@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 
 from spreadrank.llm.common import per_row
 
-MAX_STATES = 300_000
-MAX_PAIRS = 500_000
-MAX_PIECES = 300_000
+MAX_STATES = 200_000
+MAX_PAIRS = 150_000
+MAX_PIECES = 200_000
 MAX_KEPT_PIECE = 32
 DECODE_CHUNK = 65_536
 NEVER = 1 << 62

@@ -15,6 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SLICE_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for a session: they keep tables between tasks in
     its modules, so its functions must be importable there."""
@@ -39,6 +42,14 @@ def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``SLICE_BYTES``, which bounds what a worker holds as Python objects."""
+    for batch in batches:
+        step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def per_row(
     df: DataFrame,
     keep: list[str],
@@ -56,9 +67,9 @@ def per_row(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            arrays = work(batch.column(width).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *arrays], names=names)
+        for part in sliced(batches):
+            arrays = work(part.column(width).to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns[:width], *arrays], names=names)
 
     kept = ", ".join(f"`{name}` {type_of(df, name)}" for name in keep)
     return map_arrow(df.select(*keep, value), run, f"{kept}, {columns}")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import map_arrow, per_row
+from spreadrank.llm.common import map_arrow, per_row, sliced
 
 UNKNOWN = "und"
 BLANK = 0x20
@@ -64,7 +64,7 @@ def learn(df: DataFrame, text_col: str, lang_col: str, size: int = 300, max_lang
     """``lang, gram, place``: the profile of each language, places from 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             by_lang: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 by_lang.setdefault(lang, []).append(grams(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spreadrank.llm import byte_bpe, decontamination, language_id, secret_scan, token_counts
+from spreadrank.llm import byte_bpe, decontamination, hilbert_shards, language_id, secret_scan, token_counts, url_filter, warc
 from spreadrank.llm.common import table
 
 
@@ -16,6 +16,18 @@ def op1_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op3_warc(spark, sf_dir):
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    records = warc.read_archives(manifest).filter("last")
+    return records.select(
+        warc.id_in("record_id").cast("long").alias("page_id"),
+        F.col("n_bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        "record_type",
+        warc.id_in("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op4_byte_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     made = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
@@ -24,6 +36,59 @@ def op4_byte_bpe(spark, sf_dir):
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8")
 
 
+# The rules of the query.
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP6_SQL = """
+with cut as (
+  select page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) end as rest from pages
+), parts as (
+  select page_id,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path,
+    row_number() over () as n
+  from cut
+), rules(rule_host, rule_path, rule_verdict) as (
+  values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+    ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), best as (
+  select n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule,
+    arg_max(rule_verdict, length(rule_host || rule_path)) as rule_verdict
+  from parts join rules
+    on ('.' || host) like ('%.' || rule_host) and starts_with(path, rule_path)
+  group by n
+)
+select page_id, host, path, rule, coalesce(rule_verdict, 'allow') as verdict from parts left join best using (n)
+"""
+
+
+def op7_hilbert_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        "lang",
+        "n_chars",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    made = hilbert_shards.shard_rows(docs, ["source", "lang", "n_chars"], ["text_crc32", "doc_id", "size"], 16)
+    return made.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn(docs.filter(language_id.in_training("doc_id")), "text", "lang")
@@ -66,9 +131,12 @@ def op10_secret_scan(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_url_filter": op6_url_filter,
+    "op7_hilbert_shards": op7_hilbert_shards,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import lists, map_arrow, type_of
+from spreadrank.llm.common import lists, map_arrow, sliced, type_of
 from spreadrank.storage import materialize
 
 # The patterns and least lengths that define a base secret, in the order of their kinds.
@@ -82,7 +82,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, min_candidate: int) -> Data
     def run(batches):
         counts = np.zeros((2, WIDTH * WIDTH), np.int64)
         schema = None
-        for batch in batches:
+        for batch in sliced(batches):
             schema = batch.schema.field(0).type
             base, more = [], []
             for text in batch.column(1).to_pylist():

@@ -104,3 +104,15 @@ def language(docs, size=300):
         }
         best = min(sorted(far), key=far.get)
         yield doc_id, held_out(doc_id), best, 1 - far[best] / (size * len(own))
+
+
+def warc(pages):
+    """Rows (page_id, html)."""
+    last = {}
+    for page_id, html in pages:
+        last[html or ""] = max(last.get(html or "", page_id), page_id)
+    for page_id, html in pages:
+        data = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        first = last[html or ""] == page_id
+        yield page_id, len(data), digest, "response" if first else "revisit", None if first else last[html or ""]
