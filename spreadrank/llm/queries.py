@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spreadrank.llm import byte_bpe, decontamination, hilbert_shards, language_id, secret_scan, token_counts, url_filter, warc
+from spreadrank.llm import byte_bpe, decontamination, hilbert_shards, language_id, mih, near_dedup, secret_scan, token_counts, url_filter, warc
 from spreadrank.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_token_counts(spark, sf_dir):
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op2_multi_index_hashing(spark, sf_dir):
+    return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op3_warc(spark, sf_dir):
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     records = warc.read_archives(manifest).filter("last")
@@ -36,6 +40,10 @@ def op4_byte_bpe(spark, sf_dir):
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8")
 
 
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=80)
+
+
 # The rules of the query.
 RULES = [
     ("com", "/", "allow"),
@@ -131,8 +139,10 @@ def op10_secret_scan(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_multi_index_hashing": op2_multi_index_hashing,
     "op3_warc": op3_warc,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_near_dedup": op5_near_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_language_id": op8_language_id,

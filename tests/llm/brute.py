@@ -116,3 +116,34 @@ def warc(pages):
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
         first = last[html or ""] == page_id
         yield page_id, len(data), digest, "response" if first else "revisit", None if first else last[html or ""]
+
+
+def near_duplicates(docs, words=2, threshold=80):
+    """All pairs that share a shingle."""
+    from collections import Counter, defaultdict
+
+    word = re.compile("[^\x20\x09-\x0d]+")
+    sets, posting = [], defaultdict(list)
+    for at, (_, text) in enumerate(docs):
+        found = word.findall(lower(text or ""))
+        own = {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+        sets.append(own)
+        for s in own:
+            posting[s].append(at)
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for at, own in enumerate(sets):
+        shared = Counter(other for s in own for other in posting[s] if other < at)
+        for other, n in shared.items():
+            if 100 * n >= threshold * (len(own) + len(sets[other]) - n):
+                root[find(at)] = find(other)
+    least = {}
+    for at, (doc_id, _) in enumerate(docs):
+        least[find(at)] = min(least.get(find(at), doc_id), doc_id)
+    for at, (doc_id, _) in enumerate(docs):
+        yield doc_id, len(sets[at]), least[find(at)], doc_id == least[find(at)]
