@@ -11,7 +11,7 @@ forgotten together when there are ``MAX_STATES`` of them.
 Decoding looks up the bytes of each id and feeds them, chunk by chunk, to an incremental UTF-8 decoder,
 which keeps the bytes of an unfinished character between two chunks.
 
-Null texts are encoded as empty. Each row gives a row, whatever its id; other columns are not read.
+Null texts are encoded as empty. Each row gives a row, whatever its id; columns not asked for are not read.
 """
 
 from __future__ import annotations
@@ -202,8 +202,8 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_tokens, ids``: the ids as little-endian unsigned 32-bit integers in a binary column."""
+def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, and ``n_tokens, ids``: the ids as little-endian unsigned 32-bit integers."""
 
     def work():
         own = codec(path, pattern)
@@ -214,7 +214,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
         return run
 
-    return per_row(df, [id_col], text_col, "n_tokens long, ids binary", work)
+    return per_row(df, keep, text_col, "n_tokens long, ids binary", work)
 
 
 def decode(df: DataFrame, path: str, pattern: str, keep: list[str], ids_col: str = "ids") -> DataFrame:

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +34,7 @@ def ship(spark: SparkSession) -> None:
     sc._spreadrank_shipped = True
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
@@ -62,29 +63,26 @@ def per_row(
     ``make`` runs once in a task and returns a function from a batch's values to one Arrow array per
     new column. Rows are neither dropped nor matched up again by id, so null and repeated ids do no harm.
     """
-    names = [*keep, *[c.strip().split(" ")[0] for c in _split(columns)]]
-    width = len(keep)
+    source = list(dict.fromkeys([*keep, value]))
+    at, width = source.index(value), len(keep)
+    schema = T.StructType([*(df.schema[name] for name in keep), *T.StructType.fromDDL(columns)])
+    names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for part in sliced(batches):
-            arrays = work(part.column(width).to_pylist())
+            arrays = work(part.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*part.columns[:width], *arrays], names=names)
 
-    kept = ", ".join(f"`{name}` {type_of(df, name)}" for name in keep)
-    return map_arrow(df.select(*keep, value), run, f"{kept}, {columns}")
+    return map_arrow(df.select(*source), run, schema)
 
 
-def _split(columns: str) -> list[str]:
-    """Cut a schema string at its outer commas."""
-    parts, depth = [""], 0
-    for c in columns:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            parts.append("")
-        else:
-            parts[-1] += c
-    return parts
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:

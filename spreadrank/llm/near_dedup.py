@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import map_arrow, sliced, type_of
+from spreadrank.llm.common import fresh, map_arrow, sliced, type_of
 from spreadrank.llm.components import connected_components
 from spreadrank.operators.skew import lookup
 from spreadrank.storage import materialize
@@ -273,6 +273,7 @@ def near_duplicates(
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of ``df`` without the near-duplicates of a document with a smaller id. Rows without an id stay."""
     found = near_duplicates(df, id_col, text_col, words, threshold)
-    gone = materialize(found.filter("not kept").select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    name = fresh(df, "_gone")
+    gone = materialize(found.filter("not kept").select(F.col(id_col).alias(name)).distinct(), "gone")
     few = gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    return df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col(name), "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def op3_warc(spark, sf_dir):
 
 def op4_byte_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    made = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    made = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern, ["doc_id"])
     made = made.withColumn("ids_sha256", F.sha2("ids", 256))
     back = byte_bpe.decode(made, path, pattern, ["doc_id", "n_tokens", "ids_sha256"])
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8")
@@ -148,5 +149,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}

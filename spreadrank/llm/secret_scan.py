@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import lists, map_arrow, sliced, type_of
+from spreadrank.llm.common import lists, map_arrow, per_row, sliced, type_of
 from spreadrank.storage import materialize
 
 # The patterns and least lengths that define a base secret, in the order of their kinds.
@@ -132,6 +132,14 @@ def ratio_table(counts: np.ndarray) -> np.ndarray:
     return (log[1] - log[0]).ravel()
 
 
+def _model(spark, scanned: DataFrame):
+    counts = np.zeros((2, WIDTH * WIDTH))
+    summed = scanned.filter("_label is not null").groupBy("_label", "_pair").agg(F.sum("_n").alias("n"))
+    for row in summed.collect():  # at most 2 x 66 x 66 rows
+        counts[row["_label"], row["_pair"]] = row["n"]
+    return spark.sparkContext.broadcast(ratio_table(counts))
+
+
 def scan_secrets(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -141,13 +149,8 @@ def scan_secrets(
 ) -> DataFrame:
     """``id, base, spans`` of each row: arrays of (start, end, kind), in code points, end exclusive, in
     order of start and kind. ``base`` has what the fixed patterns find, ``spans`` also what the models add."""
-    spark = df.sparkSession
     scanned = materialize(_scan(df, id_col, text_col, min_candidate), "secrets")
-    counts = np.zeros((2, WIDTH * WIDTH))
-    summed = scanned.filter("_label is not null").groupBy("_label", "_pair").agg(F.sum("_n").alias("n"))
-    for row in summed.collect():  # at most 2 x 66 x 66 rows
-        counts[row["_label"], row["_pair"]] = row["n"]
-    model = spark.sparkContext.broadcast(ratio_table(counts))
+    model = _model(df.sparkSession, scanned)
 
     def run(batches):
         ratios = model.value
@@ -166,3 +169,53 @@ def scan_secrets(
     names = [id_col, "base", "spans"]
     docs = scanned.filter("_label is null").select(id_col, "_base", "_more")
     return map_arrow(docs, run, f"`{id_col}` {type_of(df, id_col)}, base {SPANS}, spans {SPANS}")
+
+
+def redact(
+    df: DataFrame,
+    keep: list[str],
+    text_col: str = "text",
+    mark: str = "[SECRET]",
+    min_candidate: int = 16,
+    min_ratio: float = 12.0,
+) -> DataFrame:
+    """The columns ``keep`` and ``redacted, n_secrets`` of each row: the text with every secret replaced by ``mark``
+    (null stays null). The models are learned as in ``scan_secrets``; the text is scanned a second time, so that
+    it need not be written out in between."""
+    one = df.select(F.lit(0).alias("none"), text_col)
+    scanned = materialize(_scan(one, "none", text_col, min_candidate).filter("_label is not null"), "pairs")
+    model = _model(df.sparkSession, scanned)
+    candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_candidate)
+
+    def work():
+        ratios = model.value
+
+        def run(texts):
+            made, counts = [], []
+            for text in texts:
+                spans = base_spans(text or "")
+                for start, end in _outside(text or "", spans):
+                    for m in candidate.finditer(text, start, end):
+                        if ratios[_pairs(m[0])].sum() >= min_ratio:
+                            spans.append((*m.span(), 3))
+                counts.append(len(spans))
+                if spans:
+                    kept = _outside(text, sorted(spans))
+                    text = _joined(text, kept, mark)
+                made.append(text)
+            return [pa.array(made, pa.string()), pa.array(counts, pa.int64())]
+
+        return run
+
+    return per_row(df, keep, text_col, "redacted string, n_secrets long", work)
+
+
+def _joined(text: str, kept: list[tuple[int, int]], mark: str) -> str:
+    """The kept parts, with one mark for each gap."""
+    out, at = [], 0
+    for start, end in kept:
+        if start > at:
+            out.append(mark)
+        out.append(text[start:end])
+        at = end
+    return "".join([*out, mark] if at < len(text) else out)
