@@ -3,7 +3,7 @@
 One scan finds, per text, the secrets of the fixed patterns and the candidates: long runs of characters that
 keys are made of, outside those secrets. The same scan counts character pairs, in the values of found
 secrets (labelled random) and in all other text (labelled ordinary), added up over all documents. The two
-models are the smoothed pair frequencies, at most two tables of 66 x 66 numbers. A candidate is a secret
+models are the smoothed pair frequencies, two tables of 68 x 68 numbers. A candidate is a secret
 when its log-likelihood ratio, random against ordinary, is at least ``min_ratio``.
 
 Null texts count as empty. Each row gives a row, whatever its id; other columns are not read. Without any
@@ -30,6 +30,7 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+PRIOR = 20.0
 EDGE = len(ALPHABET)
 WIDTH = EDGE + 1
 CODES = np.full(256, EDGE, np.uint8)
@@ -125,19 +126,35 @@ def _scan(df: DataFrame, id_col: str, text_col: str, min_candidate: int) -> Data
     )
 
 
-def ratio_table(counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood ratio of each character pair from counts (ordinary, random), each smoothed by one."""
-    seen = counts.reshape(2, WIDTH, WIDTH) + 1.0
-    log = np.log(seen / seen.sum(axis=2, keepdims=True))
-    return (log[1] - log[0]).ravel()
+class Models:
+    """Pair frequencies of ordinary text (0) and of random strings (1). A character's successors are smoothed
+    by ``PRIOR`` of the label's characters overall, and those by one each."""
+
+    def __init__(self, counts: np.ndarray):
+        self.pairs = counts.reshape(2, WIDTH, WIDTH).astype(float)
+        single = self.pairs.sum(axis=1) + 1.0
+        self.prior = PRIOR * single / single.sum(axis=1, keepdims=True)
+        self.firsts = self.pairs.sum(axis=2) + PRIOR
+
+    def ratio(self, value: str) -> float:
+        """Log-likelihood ratio, random against ordinary. The value is part of the ordinary text that was
+        counted, so its own pairs are taken out of that first."""
+        kinds, times = np.unique(_pairs(value), return_counts=True)
+        a, b = kinds // WIDTH, kinds % WIDTH
+        own = np.bincount(a, weights=times, minlength=WIDTH)
+        # Where the value began, its neighbour was another character than the edge.
+        left = np.maximum(self.pairs[0, a, b] - times, 0.0) + self.prior[0, b]
+        ordinary = np.log(left) - np.log(np.maximum(self.firsts[0, a] - own[a], PRIOR))
+        random = np.log(self.pairs[1, a, b] + self.prior[1, b]) - np.log(self.firsts[1, a])
+        return float((times * (random - ordinary)).sum())
 
 
 def _model(spark, scanned: DataFrame):
     counts = np.zeros((2, WIDTH * WIDTH))
     summed = scanned.filter("_label is not null").groupBy("_label", "_pair").agg(F.sum("_n").alias("n"))
-    for row in summed.collect():  # at most 2 x 66 x 66 rows
+    for row in summed.collect():  # at most 2 x 68 x 68 rows
         counts[row["_label"], row["_pair"]] = row["n"]
-    return spark.sparkContext.broadcast(ratio_table(counts))
+    return spark.sparkContext.broadcast(Models(counts))
 
 
 def scan_secrets(
@@ -153,14 +170,14 @@ def scan_secrets(
     model = _model(df.sparkSession, scanned)
 
     def run(batches):
-        ratios = model.value
+        models = model.value
         for batch in batches:
             spans = []
             for base, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = [
                     {"start": c["start"], "end": c["end"], "kind": KINDS[3]}
                     for c in more
-                    if ratios[_pairs(c["value"])].sum() >= min_ratio
+                    if models.ratio(c["value"]) >= min_ratio
                 ]
                 both = base + found
                 spans.append(sorted(both, key=lambda s: (s["start"], KINDS.index(s["kind"]))) if found else base)
@@ -188,7 +205,7 @@ def redact(
     candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_candidate)
 
     def work():
-        ratios = model.value
+        models = model.value
 
         def run(texts):
             made, counts = [], []
@@ -196,7 +213,7 @@ def redact(
                 spans = base_spans(text or "")
                 for start, end in _outside(text or "", spans):
                     for m in candidate.finditer(text, start, end):
-                        if ratios[_pairs(m[0])].sum() >= min_ratio:
+                        if models.ratio(m[0]) >= min_ratio:
                             spans.append((*m.span(), 3))
                 counts.append(len(spans))
                 if spans:

@@ -1,0 +1,159 @@
+"""The queries on the smallest tables against their contracts in plain Python."""
+
+from __future__ import annotations
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from spreadrank.llm.common import table
+from tests.check_oracles import differences
+from tests.llm import brute
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def rows(df):
+    return Counter(map(tuple, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return [tuple(r) for r in table(spark, SF_DIR, "documents").select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return [tuple(r) for r in table(spark, SF_DIR, "benchmark").select("item_id", "text").collect()]
+
+
+def query(spark, name, *columns):
+    made = entry.queries()[name](spark, SF_DIR)
+    return made.select(*columns) if columns else made
+
+
+def test_all_are_registered():
+    names = set(entry.queries())
+    assert "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+
+
+def test_token_counts(spark, docs):
+    assert rows(query(spark, "op1_token_counts")) == Counter(brute.token_counts(docs))
+
+
+def test_multi_index_hashing(spark):
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in table(spark, SF_DIR, "embeddings").collect()}
+    ids = np.array(sorted(vectors))
+    matrix = np.array([vectors[i] for i in ids])
+    lengths = np.linalg.norm(matrix, axis=1)
+    found = {}
+    for r in query(spark, "op2_multi_index_hashing").collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert set(found) == {i for i in ids if i % 50 == 0}
+    hits = 0
+    for q, made in found.items():
+        made.sort()
+        assert [m[0] for m in made] == [1, 2, 3, 4, 5] and q not in [m[1] for m in made]
+        cosine = matrix @ vectors[q] / lengths / np.linalg.norm(vectors[q])
+        for _, other, score in made:
+            assert abs(score - cosine[np.searchsorted(ids, other)]) < 1e-12
+        cosine[np.searchsorted(ids, q)] = -2
+        hits += len({m[1] for m in made} & set(ids[np.lexsort((ids, -cosine))[:5]]))
+    assert hits >= 0.9 * 5 * len(found)
+
+
+def test_warc(spark):
+    pages = [tuple(r) for r in table(spark, SF_DIR, "pages").select("page_id", "html").collect()]
+    assert rows(query(spark, "op3_warc")) == Counter(brute.warc(pages))
+
+
+def test_byte_bpe(spark, docs):
+    made = query(spark, "op4_byte_bpe", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert rows(made) == Counter(brute.byte_bpe(docs))
+
+
+def test_near_duplicates(spark, docs):
+    assert rows(query(spark, "op5_near_dedup")) == Counter(brute.near_duplicates(docs, words=2))
+
+
+def test_url_filter_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{SF_DIR}/pages.parquet'")
+    assert differences(query(spark, "op6_url_filter"), entry.oracle_sql()["op6_url_filter"], con) is None
+
+
+def test_hilbert_shards(spark, docs):
+    made = query(spark, "op7_hilbert_shards").collect()
+    expected = {d: (len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in docs}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in made} == expected
+    sizes = Counter(r.shard for r in made)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for shard, n in sizes.items():
+        assert sorted(r.slot for r in made if r.shard == shard) == list(range(n))
+    assert {(r.law, r.grown_shard) for r in made} == {("rows", None)}
+
+
+def test_language_id(spark):
+    plain = [tuple(r) for r in table(spark, SF_DIR, "documents").select("doc_id", "text", "lang").collect()]
+    made = {r.doc_id: r for r in query(spark, "op8_language_id").collect()}
+    assert len(made) == len(plain)
+    for doc_id, held_out, lang, score in brute.language(plain):
+        assert (made[doc_id].held_out, made[doc_id].lang_pred) == (held_out, lang)
+        assert abs(made[doc_id].score - score) < 1e-9
+    labels = {d: lang for d, _, lang in plain}
+    held = [r for r in made.values() if r.held_out]
+    assert sum(r.lang_pred == labels[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+def test_decontamination(spark, docs, items):
+    assert rows(query(spark, "op9_decontamination")) == Counter(brute.decontamination(docs, items))
+
+
+def test_secret_scan(spark, docs):
+    made = {r.doc_id: r for r in query(spark, "op10_secret_scan").collect()}
+    for doc_id, n_assign, n_access, n_hex, digest, joined in brute.base_secrets(docs):
+        row = made[doc_id]
+        assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256) == (n_assign, n_access, n_hex, digest)
+        own = [s for s in row.spans.split(",") if s]
+        assert [s for s in own if not s.startswith("markov")] == [s for s in joined.split(",") if s]
+        assert own == sorted(own, key=lambda s: int(s.split(":")[1]))
+
+
+def test_pipeline(spark, items):
+    plain = [tuple(r) for r in table(spark, SF_DIR, "documents").select("doc_id", "text", "lang").collect()]
+    known = {r[0] for r in brute.language(plain) if r[2] != "und" and r[3] >= corpus_pipeline.MIN_SCORE}
+    docs = [(d, t) for d, t, _ in plain if d in known]
+    docs = [d for d, found in zip(docs, brute.near_duplicates(docs, words=5)) if found[3]]
+    kept = {d[0] for d, found in zip(docs, brute.decontamination(docs, items)) if not found[5]}
+    made = query(spark, "pipeline").collect()
+    assert {r.doc_id for r in made} == kept and len(made) == len(kept)
+    assert all(r.same_text and len(r.ids) == 4 * r.n_tokens for r in made)
+
+
+def test_stages_pass_all_columns_on(spark):
+    extra = "doc_id long, text string, lang string, source string, n_chars long, score double, n_hit int, id string, doc int, redacted int, _gone int, node int"
+    rows = [
+        (1, "the one and the other of the two " * 5, "en", None, 5, 0.5, 1, "a", 2, 3, 4, 5),
+        (2, "the one and the other of the two " * 5, "en", "s", 5, 0.5, 1, "a", 2, 3, 4, 5),
+        (3, None, None, None, None, None, None, None, None, None, None, None),
+        (None, "password = hunter2222 and the rest of the text", None, None, 46, None, None, None, None, None, None, None),
+        (4, "", "en", None, 0, None, None, None, None, None, None, None),
+    ]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, extra)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF_DIR)
+            assert docs.columns == [c.split()[0] for c in extra.split(", ")]
+        made = [tuple(r) for r in docs.collect()]
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()
+        assert len(last) == len(made)
+        if data:
+            assert [r[0] for r in sorted(made, key=str)] == [1, None]
+            assert next(r for r in made if r[0] is None)[1:5] == ("[SECRET] and the rest of the text", None, None, 34 - 1)
