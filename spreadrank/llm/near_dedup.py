@@ -2,20 +2,23 @@
 
 A document is the set of its distinct word shingles, as 64-bit hashes. Its sketch is filled in rounds: each
 round hashes every element to a bin and a value, and a bin keeps the least value of the first round that
-reached it. After ``size`` rounds every element is also sent to one fixed bin a round, so all bins get filled, and the
+reached it. After ``SIZE`` rounds every element is also sent to one fixed bin a round, so all bins get filled, and the
 share of equal bins of two sketches is concentrated about their Jaccard similarity. Two sets with similarity
-0.8 agree in one of ``bands`` bands of ``rows`` bins with a chance of 1 - 2e-5, and all that agree are verified.
+0.8 agree in one of ``BANDS`` bands of ``ROWS`` bins with a chance of 1 - 2e-5, and all that agree are looked at.
 
 Documents with the same set form one class, found by a 128-bit digest, and only classes are compared. No
-bucket is expanded into its pairs. Links are looked for in three rounds, and classes that earlier rounds have
-joined are not compared again:
-1. each class with the likeliest of the least classes of its buckets;
-2. each class with the least class of each of its buckets;
-3. whatever still shares a bucket across components: the classes outside a bucket's largest component, with
-   the bucket's others. No candidate is left out, so every link between classes that share a bucket counts.
-Candidates whose sketches agree in fewer than ``MIN_AGREE`` of the bins, six standard deviations below what the
-threshold gives, are not verified. All others are, on the full sets, made from the texts of the classes in
-question. Components follow from the links.
+bucket is expanded into its pairs:
+1. Each class is compared with the least and the greatest class of its buckets, and the likeliest of these
+   pairs of each class are verified. That joins nearly all that belongs together.
+2. In buckets that still hold several components, the classes outside the largest one meet the bucket's others,
+   in packs of bounded size whose sketches are compared as matrices. A pack emits a spanning forest of what
+   may be linked, and the components of that are families: no link leads out of one.
+3. In families with several components, the classes outside the largest one meet the others in packs again, with
+   their texts, and all pairs that may be linked are verified on the full sets unless links found before
+   have joined them. A pack emits the links that join something new.
+So every link between classes that share a bucket counts, and the rows made grow with the classes and not with
+their pairs. A pair may be linked if the sizes allow it and the sketches agree in ``MIN_AGREE`` of the
+bins, which is more than five standard deviations below what the threshold gives.
 
 Null texts and texts without words are empty sets, linked with nothing. Rows without an id take no part and
 stay. Rows with the same id and text are copies of each other; the same id with other texts joins the
@@ -25,7 +28,6 @@ components of all its texts only if those are linked.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,13 @@ from spreadrank.operators.skew import lookup
 from spreadrank.storage import materialize
 
 ROWS, BANDS = 5, 28
-SIZE = ROWS * BANDS
-MIN_AGREE = 0.6
+#: Bins of a sketch; the bands take the first ones. Four bits of each are kept for the comparison, in which
+#: sets of similarity 0.8 agree in 0.8125 of the bins, with a standard deviation of 0.0173.
+SIZE = 512
+MIN_AGREE = 0.72
+#: Classes that are compared with as many others at once, and bytes of them.
+PACK = 256
+PACK_BYTES = 8 << 20
 #: Ids that are broadcast at most, 16 bytes each; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 
@@ -56,18 +63,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=200_000)
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
-
-
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The ascending hashes of the distinct shingles; of fewer words, the sequence counts as one."""
     # Only the space is left to split at: other bytes that split() takes for blanks are below 0x1F and word parts.
     found = [w for w in (text or "").encode().translate(FOLDED).split(b" ") if w]
     if not found:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(word_hash, found), np.uint64, len(found))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     width = min(words, len(found))
     total = np.full(len(found) - width + 1, width, np.uint64)
     for i in range(width):
@@ -95,11 +97,23 @@ def sketch(items: np.ndarray, size: int = SIZE) -> np.ndarray:
 
 def band_keys(bins: np.ndarray) -> np.ndarray:
     keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in bins.reshape(BANDS, ROWS).T:
+    for column in bins[: ROWS * BANDS].reshape(BANDS, ROWS).T:
         keys = mixed(keys * U(0x9E3779B97F4A7C15) + column)
     return keys.view(np.int64)
 
 
+def nibbles(bins: np.ndarray) -> bytes:
+    """Four bits of each bin, two bins to a byte."""
+    low = (mixed(bins) & U(15)).astype(np.uint8)
+    return (low[::2] << 4 | low[1::2]).tobytes()
+
+
+def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Share of equal bins, of sketches as rows of bytes; the shapes are broadcast."""
+    apart = left ^ right
+    return ((apart < 16).sum(axis=-1) + (apart & 15 == 0).sum(axis=-1)) / SIZE
+
+
 def _described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``id, n, class, bands, sketch`` of each row; the last three are null for an empty set."""
 
@@ -113,7 +127,7 @@ def _described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                     bins = sketch(items)
                     classes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(bins))
-                    sketches.append(mixed(bins).astype(np.uint8).tobytes())
+                    sketches.append(nibbles(bins))
                 else:
                     classes.append(None)
                     bands.append(np.empty(0, np.int64))
@@ -146,15 +160,88 @@ def _alike(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     def run(batches):
         for batch in sliced(batches):
             left, right = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIZE) for i in (2, 3)
+                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SIZE // 2) for i in (2, 3)
             )
-            agree = (left == right).mean(axis=1)
+            agree = agreement(left, right)
             made = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree)], names=["a", "b", "agree"])
             yield made.filter(pa.array(agree >= MIN_AGREE))
 
     return map_arrow(both.select("a", "b", "sketch_a", "sketch_b"), run, "a long, b long, agree double")
 
 
+def _packed(rows: DataFrame, key: str, name: str, columns: list[str], size) -> DataFrame:
+    """``key, name``: the rows of each key in arrays of about ``PACK`` entries and ``PACK_BYTES``; ``size`` is a
+    row's bytes."""
+    packs = F.ceil(F.greatest(F.count(F.lit(1)) / PACK, F.sum(size) / PACK_BYTES)).alias("packs")
+    dealt = rows.join(rows.groupBy(key).agg(packs), key).withColumn("pack", F.pmod(F.xxhash64("node"), F.col("packs")))
+    entries = dealt.groupBy(key, "pack").agg(F.collect_list(F.struct(*columns)).alias(name))
+    return entries.withColumnRenamed("pack", f"{name}_pack")
+
+
+def _meet(rows: DataFrame, key: str, columns: list[str], size) -> DataFrame:
+    """``left, right``: for each key with several components, packs of the rows outside its largest one, each
+    with every pack of all its rows. ``rows`` has ``node, root, n, sketch`` and ``columns``."""
+    sizes = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy(key).agg(
+        F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")
+    )
+    several = materialize(rows.join(largest.filter("roots > 1").select(key, "largest"), key), "several")
+    names = ["node", "root", "n", "sketch", *columns]
+    left = _packed(several.filter("root != largest"), key, "left", names, size)
+    met = left.join(_packed(several, key, "right", names, size), key)
+    # A meeting is much work on few bytes, so small shuffle partitions are not to be put together.
+    parts = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return met.repartition(parts, key, "left_pack", "right_pack").select("left", "right")
+
+
+class Pack:
+    def __init__(self, entries: pa.ListScalar):
+        rows = entries.values
+        self.node, self.root, self.n = (rows.field(name).to_numpy() for name in ("node", "root", "n"))
+        self.sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(self.node), -1)
+        self.texts = rows.field("text").to_pylist() if rows.type.get_field_index("text") >= 0 else None
+        self.sets: dict[int, np.ndarray] = {}
+
+    def set(self, at: int, words: int) -> np.ndarray:
+        if at not in self.sets:
+            self.sets[at] = shingles(self.texts[at], words)
+        return self.sets[at]
+
+
+def _joined(met: DataFrame, threshold: int, words: int | None) -> DataFrame:
+    """``a, b``: of each two packs, pairs that join all components that may be linked or, with ``words``, that are."""
+
+    def pairs(x: Pack, y: Pack):
+        # Components so far, those that meet here joined.
+        root_x, root_y = x.root.copy(), y.root.copy()
+        for i in range(len(x.node)):
+            small, large = np.minimum(x.n[i], y.n), np.maximum(x.n[i], y.n)
+            at = np.flatnonzero((root_y != root_x[i]) & (small * 100 >= large * threshold))
+            agree = agreement(x.sketch[i][None, :], y.sketch[at])
+            at, agree = at[agree >= MIN_AGREE], agree[agree >= MIN_AGREE]
+            for j in at[np.argsort(-agree, kind="stable")]:
+                one, two = root_x[i], root_y[j]
+                if one != two and (words is None or similar(x.set(i, words), y.set(j, words), threshold)):
+                    root_x[root_x == two] = one
+                    root_y[root_y == two] = one
+                    yield x.node[i], y.node[j]
+
+    def run(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1)):
+                found = np.array(list(pairs(Pack(left), Pack(right))), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"]
+                )
+
+    return map_arrow(met, run, "a long, b long").distinct()
+
+
+def similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs whose full sets are similar enough. A pair's two texts meet in a shuffle by the pair."""
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(texts, "node")
@@ -165,11 +252,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> D
 
     def run(batches):
         for batch in sliced(batches):
-            linked = []
-            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = shingles(one, words), shingles(other, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= threshold * (len(x) + len(y) - both))
+            linked = [
+                similar(shingles(one, words), shingles(other, words), threshold)
+                for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ]
             yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     return map_arrow(met, run, "a long, b long")
@@ -195,12 +281,9 @@ def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words:
     )
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose classes are in different components so far."""
-    first = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-    second = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    marked = pairs.join(first, "a", "left").join(second, "b", "left")
-    return marked.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+def _with_root(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    named = roots.select("node", F.col("root").alias("_root"))
+    return rows.join(named, "node", "left").withColumn(name, F.coalesce("_root", "node")).drop("_root")
 
 
 def near_duplicates(
@@ -219,41 +302,36 @@ def near_duplicates(
     keyed = nodes.select(F.explode("bands").alias("key"), "node")
     heads = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last")
     # Buckets with more than one class: bucket, class and the bucket's least class.
-    shared = materialize(keyed.join(heads.select("key", "head"), "key"), "buckets")
-    stars = shared.filter("head < node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    shared = materialize(keyed.join(heads, "key"), "buckets")
+    ends = F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b"))))
+    stars = shared.select(ends.alias("pair")).select("pair.a", "pair.b").filter("a < b").distinct()
     alike = materialize(_alike(stars, nodes, threshold), "alike")
-
+    either = F.array(
+        F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))
+    )
+    sides = alike.select("agree", F.explode(either).alias("side")).select("agree", "side.x", "side.y")
+    best = sides.groupBy("x").agg(F.max_by("y", F.struct("agree", -F.col("y"))).alias("y"))
+    best = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     wanted = nodes.select("node", "id", "class")
-    ends = alike.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialize(_texts(df, id_col, text_col, wanted.join(ends, "node"), words), "texts")
-
-    best = alike.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
-    links = materialize(_linked(best.select("a", "b"), texts, words, threshold), "links")
+    ends = best.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = _texts(df, id_col, text_col, wanted.join(ends, "node"), words)
+    links = materialize(_linked(best, texts, words, threshold), "links")
     roots = connected_components(links)
 
-    more = materialize(_linked(_across(alike, roots).select("a", "b"), texts, words, threshold), "links")
-    links = links.unionByName(more)
-    roots = connected_components(links)
-
-    # What is left: buckets that hold several components. Outside its largest one, each class meets all others.
-    member = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    member = materialize(member, "members")
-    sizes = member.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("key").agg(
-        F.max_by("root", F.struct("size", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")
-    )
-    mixed_buckets = member.join(largest.filter("roots > 1").select("key", "largest"), "key")
-    outside = mixed_buckets.filter("root != largest").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    pairs = mixed_buckets.join(outside, "key").filter("root != root_x").select(
-        F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")
-    )
-    untested = pairs.distinct().join(alike.select("a", "b"), ["a", "b"], "left_anti")
-    left = materialize(_alike(untested, nodes, threshold), "left")
-    ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node"), "node", "left_anti")
-    rest = _texts(df, id_col, text_col, wanted.join(ends, "node"), words)
-    last = _linked(left.select("a", "b"), texts.unionByName(rest), words, threshold)
-    links = links.unionByName(materialize(last, "links"))
-    roots = connected_components(links)
+    described = nodes.select("node", "n", "sketch")
+    member = _with_root(shared.select("key", "node").join(described, "node"), roots, "root")
+    maybe = materialize(_joined(_meet(member, "key", [], F.lit(SIZE)), threshold, None), "maybe")
+    families = connected_components(maybe.unionByName(links))
+    # The classes that may still be linked with another component, and all others of their families.
+    inside = _with_root(_with_root(described.join(families.select("node"), "node", "left_semi").unionByName(
+        described.join(families.select(F.col("root").alias("node")).distinct(), "node", "left_semi")
+    ), families, "family"), roots, "root")
+    open_families = inside.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    inside = materialize(inside.join(open_families.select("family"), "family", "left_semi"), "families")
+    texts = _texts(df, id_col, text_col, wanted.join(inside.select("node"), "node"), words)
+    met = _meet(inside.join(texts, "node"), "family", ["text"], F.octet_length("text") + SIZE)
+    more = materialize(_joined(met, threshold, words), "links")
+    roots = connected_components(links.unionByName(more))
 
     grouped = nodes.select("class", "node", "id").join(roots, "node", "left")
     grouped = grouped.select("class", "id", F.coalesce("root", "node").alias("root"))
