@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from spreadrank.params import VERACITY_WEIGHTS
 
 
-def veracity_weight(veracity: Column) -> Column:
-    """Weight of a label; every label without one of its own weighs as much as real content."""
-    return (
-        F.when(veracity == "fake", F.lit(VERACITY_WEIGHTS["fake"]))
-        .when(veracity == "unverified", F.lit(VERACITY_WEIGHTS["unverified"]))
-        .otherwise(F.lit(VERACITY_WEIGHTS["real"]))
-    )
+def veracity_weight(veracity: Column, weights: tuple = VERACITY_WEIGHTS) -> Column:
+    """Weight of a label; every label without one of its own weighs as much as the last one listed."""
+    *first, (_, rest) = weights
+    weight = F.lit(float(rest))
+    for label, value in reversed(first):
+        weight = F.when(veracity == label, F.lit(float(value))).otherwise(weight)
+    return weight
 
 
 def exact_sum(weight: Column) -> Column:
@@ -22,6 +22,16 @@ def exact_sum(weight: Column) -> Column:
     return F.sum(F.round(weight * 1e6).cast("bigint")) / F.lit(1e6)
 
 
+def billionths(weight: Column) -> Column:
+    """An edge weight as a decimal. Sums of decimals are exact, so they do not depend on row order."""
+    return weight.cast("decimal(28,9)")
+
+
+def share_sum(share: Column) -> Column:
+    """Sum of shares of a whole that does not depend on row order: added up in units of 2^-60."""
+    return F.sum((share * F.lit(2.0**60)).cast("bigint")) / F.lit(2.0**60)
+
+
 def edge_weight(score: Column, count: Column) -> Column:
     return score + F.log1p(count)
 
@@ -73,6 +83,9 @@ def composite_score(norm: Column, rank: Column, degree: Column, alpha, beta, gam
     return alpha * norm + beta * rank + gamma * degree
 
 
+# Marker sizes of the charts.
+
+
 def node_size(score: Column) -> Column:
     """Marker size on the network map."""
     return score * 3000 + 100

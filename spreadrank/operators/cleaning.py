@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spreadrank.functions.columns import veracity_weight
-
-# The veracity labels that count.
-KNOWN_LABELS = ["fake", "real", "unverified"]
+from spreadrank.params import VERACITY_WEIGHTS
 
 # The row that stays of a set of duplicates is the least one by these columns, NULLs first.
 KEEP_ORDER = ["timestamp", "src_user_id", "dst_user_id", "interaction_type", "veracity", "tweet_id"]
 
 
-def clean_interactions(df: DataFrame, key: tuple[str, ...] = ("tweet_id",)) -> DataFrame:
-    """Drop incomplete rows, self loops, repeats of ``key`` and unknown labels, in this order.
+def clean_interactions(
+    df: DataFrame, key: tuple[str, ...] = ("tweet_id",), weights: tuple = VERACITY_WEIGHTS
+) -> DataFrame:
+    """Drop incomplete rows, self loops, repeats of ``key`` and labels without a weight, in this order.
 
     Rows without a key count as repeats of each other. The label is looked at after the repeats
     are gone, so a tweet whose first row has an unknown label is lost altogether. The least row per
@@ -32,10 +32,10 @@ def clean_interactions(df: DataFrame, key: tuple[str, ...] = ("tweet_id",)) -> D
     least = kept.groupBy(*key).agg(F.min(F.struct(*rest)).alias("row"))
     return (
         least.select(*key, "row.*")
-        .filter(F.col("veracity").isin(KNOWN_LABELS))
+        .filter(F.col("veracity").isin([label for label, _ in weights]))
         .select(*[c for c in df.columns])
     )
 
 
-def assign_veracity_weights(df: DataFrame) -> DataFrame:
-    return df.withColumn("veracity_weight", veracity_weight(F.col("veracity")))
+def assign_veracity_weights(df: DataFrame, weights: tuple = VERACITY_WEIGHTS) -> DataFrame:
+    return df.withColumn("veracity_weight", veracity_weight(F.col("veracity"), weights))

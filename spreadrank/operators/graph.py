@@ -4,32 +4,39 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spreadrank.functions.columns import billionths
 from spreadrank.operators.skew import lookup
 from spreadrank.params import DEFAULTS, SkewLimits
-from spreadrank.storage import materialize
+from spreadrank.storage import materialize, new_folder
 
 
 @dataclass(frozen=True)
 class Graph:
     """``edges(src, dst, weight)`` with one row per ordered pair, ``nodes(id)``, and their sizes.
 
-    Both tables lie on shared storage, so the stages that read them do not recompute the log.
+    Both tables lie on shared storage, so the stages that read them do not recompute the log; the edges
+    at ``edges_path``, for sessions other than the one they were made in.
     """
 
     edges: DataFrame
     nodes: DataFrame
     n_edges: int
     n_nodes: int
+    edges_path: str
+
+    def edges_in(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.edges.schema).parquet(self.edges_path)
 
 
 def graph_edges(edge_table: DataFrame) -> DataFrame:
+    """The edges by their ends; weights have nine decimals, in which all sums of them are exact."""
     return edge_table.select(
         F.col("src_user_id").cast("string").alias("src"),
         F.col("dst_user_id").cast("string").alias("dst"),
-        F.col("edge_weight").cast("double").alias("weight"),
+        billionths(F.col("edge_weight")).cast("double").alias("weight"),
     )
 
 
@@ -40,9 +47,10 @@ def node_set(edges: DataFrame) -> DataFrame:
 
 def graph_from_edges(edges: DataFrame) -> Graph:
     """A graph from ``(src, dst, weight)`` rows that are already one per ordered pair."""
-    edges = materialize(edges.select("src", "dst", "weight"), "edges")
+    path = new_folder(edges.sparkSession, "edges")
+    edges = materialize(edges.select("src", "dst", "weight"), "edges", path)
     nodes = materialize(node_set(edges), "nodes")
-    return Graph(edges, nodes, edges.count(), nodes.count())
+    return Graph(edges, nodes, edges.count(), nodes.count(), path)
 
 
 def build_graph(edge_table: DataFrame) -> Graph:
@@ -51,16 +59,15 @@ def build_graph(edge_table: DataFrame) -> Graph:
 
 def out_totals(edges: DataFrame) -> DataFrame:
     """``(src, out_weight, out_degree)`` of the nodes that have out-edges."""
-    return edges.groupBy("src").agg(
-        F.sum("weight").alias("out_weight"), F.count(F.lit(1)).alias("out_degree")
-    )
+    total = F.sum(billionths(F.col("weight"))).cast("double")
+    return edges.groupBy("src").agg(total.alias("out_weight"), F.count(F.lit(1)).alias("out_degree"))
 
 
 def weighted_outdegree(graph: Graph) -> DataFrame:
     """Sum of out-edge weights of every node, 0 for a node without out-edges."""
-    sums = graph.edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"))
+    sums = out_totals(graph.edges).select(F.col("src").alias("id"), "out_weight")
     return graph.nodes.join(sums, "id", "left").select(
-        "id", F.coalesce("total", F.lit(0.0)).alias("weighted_outdegree")
+        "id", F.coalesce("out_weight", F.lit(0.0)).alias("weighted_outdegree")
     )
 
 

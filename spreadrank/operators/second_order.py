@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spreadrank.functions.columns import billionths
 from spreadrank.operators.graph import Graph, out_totals
 from spreadrank.operators.skew import lookup, salted_join
 from spreadrank.params import DEFAULTS, SkewLimits
@@ -24,17 +25,21 @@ def second_order_totals(
     p: float = DEFAULTS.p,
     q: float = DEFAULTS.q,
     limits: SkewLimits = DEFAULTS.skew,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """One row per edge ``prev -> cur`` whose ``cur`` has successors:
     ``(prev, cur, total, prob_return, prob_common, prob_far)``.
 
     ``total`` is the sum of biased weights; the probabilities are of going back, to a shared
-    successor, and to any other node.
+    successor, and to any other node. With ``asked(prev, cur)`` only these states are worked out.
     """
     out = out_totals(graph.edges)
     n = graph.n_edges
+    pairs = graph.edges.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
+    if asked is not None:
+        pairs = pairs.join(asked.select("prev", "cur"), ["prev", "cur"], "left_semi")
     states = lookup(
-        graph.edges.select(F.col("src").alias("prev"), F.col("dst").alias("cur")),
+        pairs,
         out.select(F.col("src").alias("prev"), F.col("out_degree").alias("prev_degree")),
         ["prev"], n, limits=limits,
     )
@@ -93,7 +98,7 @@ def _shared_weight(graph: Graph, states: DataFrame, limits: SkewLimits) -> DataF
         met = materialize(met, "met")
     met = lookup(met, other, ["far", "dst"], rows, limits=limits)
     from_cur = F.when(F.col("from_prev"), F.col("far_weight")).otherwise(F.col("near_weight"))
-    return met.groupBy("prev", "cur").agg(F.sum(from_cur).alias("shared"))
+    return met.groupBy("prev", "cur").agg(F.sum(billionths(from_cur)).cast("double").alias("shared"))
 
 
 def transition_bias(
@@ -111,7 +116,7 @@ def transition_bias(
     rows = moves.count()
     weights = graph.edges.select(F.col("src").alias("cur"), "dst", "weight")
     known = graph.edges.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("common"))
-    totals = second_order_totals(graph, p, q, limits).select("prev", "cur", "total")
+    totals = second_order_totals(graph, p, q, limits, moves).select("prev", "cur", "total")
     bias = (
         F.when(F.col("dst") == F.col("prev"), F.col("weight") / p)
         .when(F.col("common"), F.col("weight"))

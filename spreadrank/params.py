@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # The weight of an interaction by the veracity of its content.
-VERACITY_WEIGHTS = {"fake": 1.0, "unverified": 0.5, "real": 0.2}
+VERACITY_WEIGHTS = (("fake", 1.0), ("unverified", 0.5), ("real", 0.2))
 
 
 @dataclass(frozen=True)
@@ -25,11 +25,18 @@ class SkewLimits:
 
 @dataclass(frozen=True)
 class Params:
+    """The defaults are those of the published procedure."""
+
+    # Interactions with other labels are dropped. Scores are added up in whole millionths, so more
+    # than six digits of a weight are rounded off.
+    veracity_weights: tuple[tuple[str, float], ...] = VERACITY_WEIGHTS
     # edges
     min_edge_weight: float = 0.1
     # PageRank: the damping factor is 0.15, so 0.85 of the rank is teleported every round
     damping: float = 0.15
+    # the ranks together may change by this much per node, or by the absolute tolerance if there is one
     pagerank_tol: float = 1e-6
+    pagerank_abs_tol: float | None = None
     pagerank_max_iter: int = 100
     # walks
     walk_length: int = 30

@@ -11,13 +11,14 @@ from spreadrank.params import DEFAULTS, Params
 from spreadrank.sources.interactions import load_interactions
 
 
-def weighted_interactions(interactions: DataFrame) -> DataFrame:
-    return assign_veracity_weights(clean_interactions(interactions))
+def weighted_interactions(interactions: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    weights = params.veracity_weights
+    return assign_veracity_weights(clean_interactions(interactions, weights=weights), weights)
 
 
 def edge_table(interactions: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """The whole of preprocessing as one lazy plan with two shuffles."""
-    return aggregate_edges(weighted_interactions(interactions), params.min_edge_weight)
+    return aggregate_edges(weighted_interactions(interactions, params), params.min_edge_weight)
 
 
 def run_preprocessing(spark: SparkSession, path: str, fmt: str = "csv", params: Params = DEFAULTS) -> DataFrame:
@@ -30,7 +31,7 @@ def stage_counts(interactions: DataFrame, params: Params = DEFAULTS) -> DataFram
     The edge totals know how many clean rows they come from, so cleaning runs once for
     both of the later counts.
     """
-    counts = edge_totals(weighted_interactions(interactions)).agg(
+    counts = edge_totals(weighted_interactions(interactions, params)).agg(
         F.coalesce(F.sum("interaction_count"), F.lit(0)).alias("cleaned"),
         F.count(F.when(F.col("edge_weight") >= params.min_edge_weight, 1)).alias("edges"),
     )

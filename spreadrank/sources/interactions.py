@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# The columns of the log.
 SCHEMA = T.StructType(
     [
         T.StructField("tweet_id", T.StringType()),
@@ -17,15 +18,23 @@ SCHEMA = T.StructType(
 )
 
 
+# Text goes in and out as it is: white space is kept, and a quote in a quoted field is doubled.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def load_interactions(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Read the log from any Hadoop URI with the fixed schema; nothing is inferred or counted.
 
     CSV files have a header row. Columns go by position, an empty field or an unparseable number is
     NULL, and white space is kept. Parquet columns go by name.
     """
-    reader = spark.read.schema(SCHEMA)
+    return _read(spark, path, fmt, SCHEMA)
+
+
+def _read(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
+    reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).csv(path)
+        return reader.options(**CSV).csv(path)
     if fmt == "parquet":
         return reader.parquet(path)
     raise ValueError(f"unknown format {fmt!r}; use 'csv' or 'parquet'")
@@ -41,11 +50,14 @@ def input_uri(host: str | None, folder: str, local_path: str, name: str = "inter
 def stage_interactions(
     spark: SparkSession, source: str, target: str, fmt: str = "csv"
 ) -> DataFrame:
-    """Replace ``target`` with a copy of ``source`` and return the copy; a failed write raises."""
-    rows = load_interactions(spark, source, fmt)
-    writer = rows.write.mode("overwrite")
+    """Replace ``target`` with a copy of ``source`` and return the copy; a failed write raises.
+
+    CSV fields are copied as text, so a value that does not fit its column, such as an unparseable
+    timestamp, is in the copy as well.
+    """
     if fmt == "csv":
-        writer.option("header", True).csv(target)
+        text = T.StructType([T.StructField(f.name, T.StringType()) for f in SCHEMA])
+        _read(spark, source, fmt, text).write.mode("overwrite").options(**CSV).csv(target)
     else:
-        writer.parquet(target)
+        _read(spark, source, fmt, SCHEMA).write.mode("overwrite").parquet(target)
     return load_interactions(spark, target, fmt)

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from spreadrank.sources.interactions import CSV
+
 
 def save_report(df: DataFrame, path: str, fmt: str = "csv") -> str:
     """Write a table below ``path``, replacing what is there, and return the path.
 
-    A ranked table is written in order, with the rank as its first column.
+    Values keep their white space. The rank is the first column of a ranked table, and each file is in
+    its order; ``rank_rows`` has dealt the ranks out in ranges, so nothing is shuffled for it.
     """
     if "rank" in df.columns:
-        df = df.select("rank", *[c for c in df.columns if c != "rank"]).orderBy("rank")
+        df = df.select("rank", *[c for c in df.columns if c != "rank"]).sortWithinPartitions("rank")
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV).csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:

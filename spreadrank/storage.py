@@ -7,8 +7,9 @@ re-read of a file and not a recomputation of all earlier rounds.
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +18,23 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    Where nothing is set, a local session gets a temporary folder of its own; a cluster session is
-    refused, because a folder on one machine would not be visible to the executors.
+    A session that names none is refused: a folder on one machine would not be visible to the executors.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="spreadrank-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/spreadrank/{name}-{uuid.uuid4().hex}"
+    base = _scratch[-1] if _scratch else f"{work_dir(spark)}/spreadrank"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -44,32 +46,56 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def partitions_for(spark: SparkSession, rows: int, row_bytes: int) -> int:
-    """Partitions of about 128 MB, and enough of them to keep the cores busy on middling data."""
+    """Partitions of about 128 MB, and enough of them to keep the cores busy on middling data. For
+    layouts that no result depends on."""
     by_size = math.ceil(rows * row_bytes / (128 << 20))
     by_cores = min(spark.sparkContext.defaultParallelism, math.ceil(rows / 20_000))
     return max(1, by_size, by_cores)
 
 
+def fixed_plans(spark: SparkSession) -> SparkSession:
+    """A session like the caller's whose plans are fixed up front, since only they keep a layout.
+
+    Tables written by one session are read by the other; the caller's settings stay as they are.
+    """
+    fixed = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and fixed.conf.isModifiable(key):
+            fixed.conf.set(key, value)
+    fixed.conf.set("spark.sql.adaptive.enabled", "false")
+    return fixed
+
+
+def checkpoint_hashed(df: DataFrame, parts: int, keys: list[str]) -> DataFrame:
+    """Checkpoint ``df``, of a ``fixed_plans`` session, hashed and sorted by ``keys``. Joins on ``keys`` then neither
+    shuffle nor sort this side again."""
+    work_dir(df.sparkSession)
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).checkpoint()
+
+
 def checkpoint_grouped(df: DataFrame, parts: int, keys: list[str], groups: list[str], value: str) -> DataFrame:
     """Collect ``value`` per ``groups`` (which begin with ``keys``) into the array ``entries``, and
-    checkpoint the result hashed and sorted by ``keys``, a layout the planner knows of.
+    checkpoint the result as ``checkpoint_hashed`` does.
 
-    Joins on ``keys`` then neither shuffle nor sort this side again. The layout is only kept for a
-    plan that is fixed up front, so adaptive planning is off while the checkpoint is written. The
-    result is also cached; what an executor takes with it is read from the checkpoint again. The
+    The result is also cached; what an executor takes with it is read from the checkpoint again. The
     caller unpersists it.
     """
-    spark = df.sparkSession
-    work_dir(spark)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    work_dir(df.sparkSession)
+    grouped = (
+        df.repartition(parts, *keys).groupBy(*groups).agg(F.collect_list(value).alias("entries")).select(*keys, "entries")
+    )
+    return grouped.sortWithinPartitions(*keys).checkpoint().persist()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for the intermediate tables written inside, deleted at the end with all of them.
+    Results must have been written elsewhere by then."""
+    folder = f"{work_dir(spark)}/spreadrank/run-{uuid.uuid4().hex}"
+    _scratch.append(folder)
     try:
-        grouped = (
-            df.repartition(parts, *keys)
-            .groupBy(*groups)
-            .agg(F.collect_list(value).alias("entries"))
-            .select(*keys, "entries")
-        )
-        return grouped.sortWithinPartitions(*keys).checkpoint().persist()
+        yield folder
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        _scratch.remove(folder)
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,9 +2,12 @@ from __future__ import annotations
 
 import pytest
 
+from spreadrank import storage
 from spreadrank.operators import graph as g
+from spreadrank.operators import pagerank
 from spreadrank.operators.pagerank import NotConverged, compute_pagerank
 from spreadrank.operators.second_order import second_order_totals, transition_bias
+from spreadrank.operators.skew import hot_keys
 from spreadrank.params import SkewLimits
 from spreadrank.sources.random_graph import random_graph
 
@@ -135,3 +138,59 @@ def test_random_graph_goes_on_where_the_first_draws_end_early(spark, monkeypatch
 
 def test_complete_random_graph(spark):
     assert random_graph(spark, 20, edge_prob=1.0).count() == 20 * 19
+
+
+@pytest.fixture(scope="module")
+def tangle(spark):
+    """A graph whose weights add up differently in another order."""
+    import random
+
+    rnd = random.Random(11)
+    pairs = {(rnd.randrange(40), rnd.randrange(40) if i % 3 else 0) for i in range(500)}
+    return [(f"n{a}", f"n{b}", rnd.random() * 3 + 1 / 3) for a, b in sorted(pairs) if a != b]
+
+
+def test_sums_and_walks_do_not_depend_on_the_order_of_the_rows(spark, tangle):
+    import random
+
+    from spreadrank.operators.walks import generate_walks
+
+    def measures(rows, parts):
+        table = spark.createDataFrame(rows, "src string, dst string, weight double").repartition(parts, "dst")
+        graph = g.graph_from_edges(table)
+        walks = sorted(generate_walks(graph, 2, 6).collect())
+        return as_dict(g.weighted_outdegree(graph)), as_dict(compute_pagerank(graph)), walks
+
+    mixed = random.Random(5).sample(tangle, len(tangle))
+    assert measures(tangle, 3) == measures(mixed, 7)
+
+
+@pytest.mark.parametrize("limits", [SkewLimits(), TINY])
+def test_a_round_shuffles_the_ranks_and_no_edges(spark, tangle, monkeypatch, limits):
+    graph = g.graph_from_edges(spark.createDataFrame(tangle, "src string, dst string, weight double"))
+    looked = []
+    monkeypatch.setattr(pagerank, "partitions_for", lambda *a: 3)
+    monkeypatch.setattr(pagerank, "hot_keys", lambda *a, **k: looked.append(1) or hot_keys(*a, **k))
+    layout = pagerank.lay_out(graph, limits)
+    assert len(looked) == (limits is TINY)
+    ranks = storage.materialize(
+        g.out_totals(graph.edges).selectExpr("src as id", "out_weight", "0.1D as rank"), "ranks"
+    )
+    plan = pagerank.inflows(layout, ranks)._jdf.queryExecution().executedPlan().toString()
+    by_source = [line for line in plan.splitlines() if "Exchange hashpartitioning(src" in line]
+    assert len(by_source) == 1 and plan.count("Scan ExistingRDD") == 1
+    compute_pagerank(graph, limits=limits)
+    assert len(looked) == 2 * (limits is TINY)
+
+
+def test_absolute_tolerance_runs_on(five):
+    few, many = compute_pagerank(five, tol=1.0), compute_pagerank(five, tol=1.0, abs_tol=1e-9)
+    assert as_dict(few) != as_dict(many)
+    assert as_dict(many) == pytest.approx(as_dict(compute_pagerank(five, rounds=40)), abs=1e-8)
+
+
+def test_only_asked_states_are_worked_out(spark, five):
+    whole = {(r.prev, r.cur): r.total for r in second_order_totals(five).collect()}
+    asked = spark.createDataFrame([("a", "b"), ("c", "a"), ("a", "b"), ("x", "y")], "prev string, cur string")
+    some = second_order_totals(five, asked=asked)
+    assert {(r.prev, r.cur): r.total for r in some.collect()} == {k: whole[k] for k in [("a", "b"), ("c", "a")]}

@@ -8,6 +8,7 @@ from spreadrank.operators.cleaning import clean_interactions
 from spreadrank.params import Params
 from spreadrank.plans import preprocess
 from spreadrank.sources.interactions import (
+    CSV,
     SCHEMA,
     input_uri,
     load_interactions,
@@ -122,3 +123,39 @@ def test_report_has_the_rank_first(spark, tmp_path):
     back = spark.read.option("header", True).csv(path)
     assert back.columns == ["rank", "node_id", "influence_score"]
     assert back.collect()[0].asDict() == {"rank": "1", "node_id": "n1", "influence_score": "0.7"}
+
+
+ODD = [
+    ["t1", "a", "b", "rt", " fake", "1"],
+    ["t2", "a", "c ", "rt", "fake", "xx"],
+    ["t 3", ' "a"', "d\\", "r,t", "fake ", " 4"],
+    ["", "a,b", 'q"', "\\", "real", "5"],
+]
+
+
+def test_staging_keeps_every_value(spark, tmp_path):
+    import csv
+
+    source = tmp_path / "odd.csv"
+    with source.open("w", newline="") as out:
+        csv.writer(out).writerows([SCHEMA.names, *ODD])
+    copy = stage_interactions(spark, str(source), str(tmp_path / "staged"))
+    assert sorted(copy.collect(), key=str) == sorted(load_interactions(spark, str(source)).collect(), key=str)
+    texts = spark.read.options(**CSV).csv(str(tmp_path / "staged")).collect()
+    expected = [tuple(v if v else None for v in row) for row in ODD]
+    assert sorted(map(tuple, texts), key=str) == sorted(expected, key=str)
+    edges = {(r.src_user_id, r.dst_user_id) for r in preprocess.run_preprocessing(spark, str(tmp_path / "staged")).collect()}
+    assert edges == {("a", "c "), ("a,b", 'q"')}
+
+
+def test_reports_keep_ids_apart(spark, tmp_path):
+    table = spark.createDataFrame([(1, " n1 "), (2, "n1"), (3, 'n"1,')], "rank int, node_id string")
+    back = spark.read.options(**CSV).csv(save_report(table, str(tmp_path / "report")))
+    assert {r.node_id for r in back.collect()} == {" n1 ", "n1", 'n"1,'}
+
+
+def test_weights_are_settings(spark, dirty):
+    log = load_interactions(spark, dirty)
+    params = Params(veracity_weights=(("Fake", 2.0), ("fake", 0.25)))
+    scores = [r.veracity_score for r in preprocess.edge_table(log, params).collect()]
+    assert sorted(scores) == [0.25, 2.25]

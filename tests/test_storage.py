@@ -38,7 +38,9 @@ def test_cluster_without_a_folder_is_refused():
 
 
 def test_checkpointed_groups_are_not_shuffled_again(spark):
-    table = spark.range(1000).selectExpr("id % 7 as a", "id % 11 as b", "id as v")
+    fixed = storage.fixed_plans(spark)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    table = fixed.range(1000).selectExpr("id % 7 as a", "id % 11 as b", "id as v")
     grouped = storage.checkpoint_grouped(table, 3, ["a", "b"], ["a", "b"], "v")
     other = spark.range(70).selectExpr("id % 7 as a", "id % 11 as b")
     joined = other.hint("merge").join(grouped, ["a", "b"])
@@ -46,3 +48,13 @@ def test_checkpointed_groups_are_not_shuffled_again(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     assert joined.count() == 70
     grouped.unpersist()
+
+
+def test_a_run_leaves_nothing_behind(spark):
+    import os
+
+    with storage.scratch(spark) as folder:
+        storage.materialize(spark.range(3), "a")
+        assert any(name.startswith("a-") for name in os.listdir(folder.removeprefix("file://")))
+    assert not os.path.exists(folder.removeprefix("file://"))
+    assert "run-" not in storage.new_folder(spark, "b").rsplit("/", 2)[1]

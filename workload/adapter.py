@@ -3,7 +3,8 @@
 An event is an interaction of its user with an account picked by a hash of the event id, with a
 preference for low account numbers. A tenth more accounts than users exist, so some never act
 and have no successors. The mapping is row by row. The log holds every kind of row that cleaning
-has to deal with: repeated tweets, missing tweet ids, missing targets, self loops, unknown labels.
+has to deal with: repeated tweets, missing tweet ids, missing targets, self loops, unknown labels, and white space
+around labels and ids, which makes them other labels and ids.
 """
 
 from __future__ import annotations
@@ -30,14 +31,19 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("tweet_id"),
             F.concat(F.lit("u"), user).alias("src_user_id"),
             F.when(
-                F.col("event_id") % 67 != 0, F.concat(F.lit("u"), target.cast("string"))
+                F.col("event_id") % 67 != 0,
+                F.concat(
+                    F.lit("u"), target.cast("string"), F.when(F.col("event_id") % 59 == 0, " ").otherwise("")
+                ),
             ).alias("dst_user_id"),
             F.col("event_type").alias("interaction_type"),
-            F.when(F.col("k") < 50, "fake")
-            .when(F.col("k") < 75, "unverified")
-            .when(F.col("k") < 95, "real")
-            .otherwise("satire")
-            .alias("veracity"),
+            F.concat(
+                F.when(F.col("event_id") % 53 == 0, " ").otherwise(""),
+                F.when(F.col("k") < 50, "fake")
+                .when(F.col("k") < 75, "unverified")
+                .when(F.col("k") < 95, "real")
+                .otherwise("satire"),
+            ).alias("veracity"),
             F.col("event_id").alias("timestamp"),
         )
     )
@@ -53,6 +59,12 @@ def stand_in_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stand_in_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, x, y)``: the first two numbers of each vector as its place in the plane."""
+    vectors = stand_in_vectors(spark, sf_dir)
+    return vectors.select("id", F.col("vector")[0].alias("x"), F.col("vector")[1].alias("y"))
+
+
 def stand_in_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return table.select(

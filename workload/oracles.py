@@ -17,10 +17,12 @@ raw as (
   select case when k <> 13
               then event_type || '-' || strftime(ts, '%Y%m%d') || '-' || user_id end tweet_id,
          'u' || user_id src_user_id,
-         case when event_id % 67 <> 0 then 'u' || cast(floor(pow(d, 2.0) * n) as bigint) end dst_user_id,
+         case when event_id % 67 <> 0 then 'u' || cast(floor(pow(d, 2.0) * n) as bigint)
+                || case when event_id % 59 = 0 then ' ' else '' end end dst_user_id,
          event_type interaction_type,
-         case when k < 50 then 'fake' when k < 75 then 'unverified' when k < 95 then 'real'
-              else 'satire' end veracity,
+         case when event_id % 53 = 0 then ' ' else '' end
+           || case when k < 50 then 'fake' when k < 75 then 'unverified' when k < 95 then 'real'
+                   else 'satire' end veracity,
          event_id "timestamp"
   from drawn, accounts)"""
 
@@ -53,10 +55,10 @@ edge_table as (
   select *, veracity_score + ln(1.0::double + interaction_count) edge_weight from totals)"""
 
 GRAPH = f"""{EDGES},
-e as (select src_user_id src, dst_user_id dst, edge_weight weight
+e as (select src_user_id src, dst_user_id dst, edge_weight::decimal(28, 9)::double weight
       from edge_table where edge_weight >= 0.1),
 nodes as (select src id from e union select dst from e),
-outs as (select src, sum(weight) out_weight, count(*) out_degree from e group by 1)"""
+outs as (select src, sum(weight::decimal(28, 9))::double out_weight, count(*) out_degree from e group by 1)"""
 
 EDGE_COLUMNS = """src_user_id, dst_user_id, round(veracity_score, 6) veracity_score,
   interaction_count, interaction_type, round(edge_weight, 6) edge_weight"""
@@ -135,13 +137,13 @@ def walk_ctes(num_walks: int, walk_length: int, trials: int = 64) -> str:
     """Each step draws all trials at once and takes the first that is kept (p = 1, q = 0.5)."""
     ctes = [
         """running as (
-  select src, dst, sum(weight) over w upto from e
+  select src, dst, sum(weight::decimal(28, 9)) over w upto from e
   window w as (partition by src order by md5(dst), dst rows unbounded preceding)),
 shares as (
   select src, dst,
-         coalesce(lag(upto) over (partition by src order by md5(dst), dst), 0.0)
-           / max(upto) over (partition by src) lo,
-         upto / max(upto) over (partition by src) hi
+         coalesce(lag(upto) over (partition by src order by md5(dst), dst), 0)::double
+           / (max(upto) over (partition by src))::double lo,
+         upto::double / (max(upto) over (partition by src))::double hi
   from running)""",
         f"""w0 as (
   select id || '#' || i walk_id, null::varchar prev, id cur
@@ -179,7 +181,7 @@ w{s} as (
     return ",\n".join(ctes)
 
 
-WALKS = f"{GRAPH},\n{walk_ctes(2, 4)}"
+WALKS = f"{GRAPH},\n{walk_ctes(10, 30)}"
 
 WEDGES = """
 wedges as (
@@ -205,8 +207,8 @@ chosen as (
   group by 1 order by 2 desc, 1 limit 50)"""
 
 
-def drawn(ids: str, size: str) -> str:
-    return f"""select n.id, round(coalesce(influence_score, 0.01) * {size}, 4) size,
+def drawn(ids: str, size: str, more: str = "") -> str:
+    return f"""select n.id, {more}round(coalesce(influence_score, 0.01) * {size}, 4) size,
   coalesce("cluster", 0) "cluster", n.id in (select id from top) is_top
 from {ids} n left join influence i on i.node_id = n.id left join clusters c on c.id = n.id"""
 
@@ -234,8 +236,8 @@ select id, coalesce(out_degree, 0) outdegree from nodes left join outs on src =
     "pagerank": f"""with {GRAPH}, {pagerank_ctes()}
 select id, round(pagerank, 9) pagerank from pr""",
     "transition_prob": f"""with {GRAPH}
-select src, dst, round(weight, 8) weight, round(weight / sum(weight) over (partition by src), 8) prob
-from e""",
+select src, dst, round(weight, 8) weight, round(weight / out_weight, 8) prob
+from e join outs using (src)""",
     "second_order_prob": f"""with {GRAPH}, {WEDGES}
 select prev, cur, round(sum(bias), 6) total,
   round(coalesce(sum(bias) filter (kind = 'return'), 0) / sum(bias), 6) prob_return,
@@ -250,8 +252,11 @@ seen as (
 shared as (select *, bias / sum(bias) over (partition by prev, cur) prob from biased)
 select prev, cur, dst, round(bias, 6) bias, round(prob, 6) prob
 from seen join shared using (prev, cur, dst)""",
-    "walks_short": f"with {WALKS} select walk_id, step, node from walks",
-    "walks_vocab": f"with {WALKS} select node, count(*) frequency from walks group by 1",
+    "walks": f"with {WALKS} select walk_id, step, node from walks",
+    "walks_vocab": f"""with {WALKS}
+select row_number() over (order by count(*) desc, node) - 1 place, node, count(*) frequency
+from walks group by node""",
+    "csv_round_trip": f"with {RAW} select * from raw",
     "sample_graph": f"with {GRAPH}, {TOP_SAMPLE} select id, outdegree from chosen",
     "sample_graph_edges": f"""with {GRAPH}, {TOP_SAMPLE}
 select src, dst, round(weight, 6) weight from e
@@ -300,18 +305,27 @@ select row_number() over (order by bridge_score desc nulls last, node_id) "rank"
     "plot_network_edges": f"""with {EGO}
 select src, dst, round(weight / max(weight) over (), 6) weight_share from ego_edges""",
     "plot_points": f"""with {SCORES},
-points as (select id from vectors order by {uniform("md5('42|' || id)")}, id limit 100)
-{drawn('points', '500 + 30')}""",
+points as (select id, vector[1] x, vector[2] y from vectors order by {uniform("md5('42|' || id)")}, id limit 100)
+{drawn('points', '500 + 30', 'round(x, 6) x, round(y, 6) y, ')}""",
     "plot_bars": f"""with {SCORES}
 select node_id, round(influence_score, 6) influence_score, printf('%.3f', influence_score) label
 from influence where "rank" <= 10""",
-    "random_graph": f"""with {GRAPH},
-size as (select count(*) n, least(0.15::double, 15.0::double / count(*)) p from nodes),
-jumps as (
-  select src, sum(gap) over (partition by src order by i rows unbounded preceding) - 1 dst from (
-    select src, i, least(floor(ln({uniform("md5('42|' || src || '|' || i)")}) / ln(1.0 - p)), n)::bigint + 1 gap
-    from size, range((select count(*) from nodes)) s(src), range(1, (select count(*) from nodes) + 1) t(i)))
-select src, dst::bigint dst,
-  case when {uniform("md5('42|' || src || '|to|' || dst::bigint)")} < 0.7 then 1.0::double else 0.2::double end weight
-from jumps, size where dst < n and src <> dst""",
+    "skipgram_in_tables": f"with {GRAPH} select id, 64 length, true finite, true positive from nodes",
+    "node2vec_vectors": f"with {GRAPH} select id, 64 length, true finite, true positive from nodes",
+    "kmeans_clusters": f"with {VECTORS} select id, true is_label, true is_nearest from vectors",
+    "pca_points": f"""with {VECTORS}
+select count(*) n, 0.0::double mean_x, 0.0::double mean_y, 0.0::double covariance, true variance_falls
+from vectors""",
+    "clustering_bridges": f"""with {GRAPH}, {VECTORS}
+select distinct src node_id, true score_is_product, true count_in_range from e join vectors on id = src""",
+    "full_run": f"""with {GRAPH},
+{pagerank_ctes()},
+inputs as (
+  select n.id node_id, coalesce(pagerank, 0.0) pagerank, coalesce(out_weight, 0.0) weighted_outdegree
+  from nodes n left join pr on pr.id = n.id left join outs on src = n.id)
+select node_id, round(pagerank, 9) pagerank, round(weighted_outdegree, 6) weighted_outdegree,
+  round((pagerank - min(pagerank) over ()) / (max(pagerank) over () - min(pagerank) over ()), 6) pagerank_n,
+  round((weighted_outdegree - min(weighted_outdegree) over ())
+    / (max(weighted_outdegree) over () - min(weighted_outdegree) over ()), 6) outdegree_n
+from inputs""",
 }

@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadrank.operators import community, embedding, graph, pagerank, scoring, subgraph, walks
+from spreadrank.functions.columns import squared_distance
 from spreadrank.operators import second_order
 from spreadrank.operators.cleaning import clean_interactions
 from spreadrank.operators.skipgram import train_skipgram
 from spreadrank.params import Params
 from spreadrank.plans import communities, influence, preprocess, run
-from spreadrank.sources.random_graph import random_graph
+from spreadrank.sources.interactions import CSV, stage_interactions
+from spreadrank.storage import materialize, new_folder
 from workload import adapter
 
-# Short walks, so that the SQL check can unroll their steps.
-SHORT_WALKS = {"num_walks": 2, "walk_length": 4}
-
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in names})
@@ -103,16 +102,23 @@ def q_second_order(spark, sf):
 
 def q_transition_bias(spark, sf):
     g = graph_of(spark, sf)
-    seen = second_order.observed_transitions(walks.generate_walks(g, **SHORT_WALKS))
+    seen = second_order.observed_transitions(walks.generate_walks(g))
     return rounded(second_order.transition_bias(g, seen), "bias", "prob")
 
 
-def q_walks_short(spark, sf):
-    return walks.generate_walks(graph_of(spark, sf), **SHORT_WALKS)
+def q_walks(spark, sf):
+    return walks.generate_walks(graph_of(spark, sf))
 
 
 def q_walks_vocab(spark, sf):
-    return walks.vocabulary(walks.generate_walks(graph_of(spark, sf), **SHORT_WALKS))
+    return walks.ranked_vocabulary(walks.generate_walks(graph_of(spark, sf)))
+
+
+def q_csv_round_trip(spark, sf):
+    """The log as CSV, staged, and read again: every value is what it was."""
+    source, target = new_folder(spark, "log"), new_folder(spark, "staged")
+    adapter.interactions(spark, sf).write.options(**CSV).csv(source)
+    return stage_interactions(spark, source, target)
 
 
 def q_sample_nodes(spark, sf):
@@ -192,10 +198,10 @@ def q_plot_network_edges(spark, sf):
 
 def q_plot_points(spark, sf):
     g = graph_of(spark, sf)
-    points = adapter.stand_in_vectors(spark, sf).select("id")
+    points = adapter.stand_in_points(spark, sf)
     clusters = adapter.stand_in_clusters(spark, sf)
     table = subgraph.cluster_scatter(points, influence_of(spark, sf, g), clusters, n=100)
-    return rounded(table, "size", digits=4)
+    return rounded(rounded(table, "size", digits=4), "x", "y")
 
 
 def q_plot_bars(spark, sf):
@@ -204,47 +210,82 @@ def q_plot_bars(spark, sf):
     )
 
 
-def q_random_graph(spark, sf):
-    n = graph_of(spark, sf).n_nodes
-    return random_graph(spark, n, edge_prob=min(0.15, 15.0 / n))
-
-
 def q_successors(spark, sf):
     g = graph_of(spark, sf)
     best = subgraph.best_nodes(influence_of(spark, sf, g), 10)
     return rounded(graph.successors(g, best), "weight")
 
 
+def sound(vectors: DataFrame) -> DataFrame:
+    """What must hold of every trained vector; its numbers are learned and in no SQL."""
+    finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    positive = F.exists("vector", lambda x: x != 0)
+    return vectors.select("id", F.size("vector").alias("length"), finite.alias("finite"), positive.alias("positive"))
+
+
 def q_skipgram(spark, sf):
-    short = walks.generate_walks(graph_of(spark, sf), **SHORT_WALKS)
-    return train_skipgram(short, walks.vocabulary(short), dim=16, epochs=1, batches=3)
+    paths = materialize(walks.generate_walks(graph_of(spark, sf)), "walks")
+    return sound(train_skipgram(paths, walks.vocabulary(paths), dim=64, epochs=3))
 
 
 def q_node2vec(spark, sf):
-    return embedding.run_node2vec(graph_of(spark, sf))
+    return sound(embedding.run_node2vec(graph_of(spark, sf)))
 
 
 def q_kmeans(spark, sf):
-    return community.cluster_nodes(adapter.stand_in_vectors(spark, sf))
+    """Whether each label is one of the three and that of the nearest mean of a label's vectors."""
+    vectors = adapter.stand_in_vectors(spark, sf)
+    clusters = materialize(community.cluster_nodes(vectors), "clusters")
+    means = community.centroids(vectors, clusters)
+    far = squared_distance(F.col("vector"), F.col("centroid"))
+    apart = vectors.crossJoin(F.broadcast(means.limit(3))).select("id", F.col("cluster").alias("mean"), far.alias("far"))
+    nearest = apart.groupBy("id").agg(F.min("far").alias("least"), F.collect_list(F.struct("mean", "far")).alias("each"))
+    own = F.filter("each", lambda m: m["mean"] == F.col("cluster"))[0]["far"]
+    return clusters.join(nearest, "id").select(
+        "id", F.col("cluster").between(0, 2).alias("is_label"), (own <= F.col("least") + 1e-3).alias("is_nearest")
+    )
 
 
 def q_pca(spark, sf):
-    return community.project(adapter.stand_in_vectors(spark, sf))
+    """What must hold of principal components: centred, uncorrelated, the first with more variance."""
+    points = community.project(adapter.stand_in_vectors(spark, sf))
+
+    def zero(value):
+        return F.abs(F.round(value, 6))
+
+    return points.agg(
+        F.count(F.lit(1)).alias("n"),
+        zero(F.avg("x")).alias("mean_x"),
+        zero(F.avg("y")).alias("mean_y"),
+        zero(F.covar_pop("x", "y")).alias("covariance"),
+        (F.var_pop("x") > F.var_pop("y")).alias("variance_falls"),
+    )
 
 
 def q_clustering_bridges(spark, sf):
+    """Every node with successors and a cluster; clusters are learned, so only what must hold of a row."""
     g = graph_of(spark, sf)
     tables = communities.run_clustering(
         adapter.stand_in_vectors(spark, sf), g, influence_of(spark, sf, g)
     )
-    return tables["bridges"]
+    number = F.col("n_communities_connected")
+    product = F.col("influence_score") * number
+    return tables["bridges"].select(
+        "node_id",
+        (F.abs(F.col("bridge_score") - product) < 1e-12).alias("score_is_product"),
+        number.between(0, 3).alias("count_in_range"),
+    )
 
 
 def q_full_run(spark, sf):
-    return run.run(adapter.interactions(spark, sf))["influence"]
+    """The whole run; of its influence table the columns that do not rest on learned vectors."""
+    table = run.run(adapter.interactions(spark, sf))["influence"]
+    table = table.select("node_id", "pagerank", "weighted_outdegree", "pagerank_n", "outdegree_n")
+    return rounded(rounded(table, "pagerank", digits=9), "weighted_outdegree", "pagerank_n", "outdegree_n")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "csv_round_trip": q_csv_round_trip,
     "clean_interactions": q_clean,
     "weighted_interactions": q_weighted,
     "edges": q_edges,
@@ -259,7 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "transition_prob": q_transition_prob,
     "second_order_prob": q_second_order,
     "transition_bias": q_transition_bias,
-    "walks_short": q_walks_short,
+    "walks": q_walks,
     "walks_vocab": q_walks_vocab,
     "sample_graph": q_sample_nodes,
     "sample_graph_edges": q_sample_edges,
@@ -278,7 +319,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "plot_network_edges": q_plot_network_edges,
     "plot_points": q_plot_points,
     "plot_bars": q_plot_bars,
-    "random_graph": q_random_graph,
     "successors": q_successors,
     "skipgram_in_tables": q_skipgram,
     "node2vec_vectors": q_node2vec,
