@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from spreadrank.workers import ship
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
+#: Bytes of rows that a worker turns into Python objects at a time.
 SLICE_BYTES = 4 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for a session: they keep tables between tasks in
-    its modules, so its functions must be importable there."""
-    sc = spark.sparkContext
-    if getattr(sc, "_spreadrank_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp()) / "spreadrank_workers.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for module in sorted(package.rglob("*.py")):
-            out.write(module, module.relative_to(package.parent))
-    sc.addPyFile(str(archive))
-    sc._spreadrank_shipped = True
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
