@@ -14,7 +14,7 @@ result for null and empty texts, null and repeated ids and empty tables; see the
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spreadrank.llm import byte_bpe, decontamination, language_id, near_dedup, secret_scan
@@ -29,15 +29,21 @@ ORACLE_SQL = None
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """The whole row as column ``doc``, where its names meet no others, and the text."""
-    return docs.select(F.struct(*docs.columns).alias("doc"), "text")
+    """The text, and all other columns as column ``doc``, where their names meet no others."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("doc"), "text")
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of before, in their order; ``new`` ones in place of the old."""
+    old = {c: F.col("text") if c == "text" else F.col("doc").getField(c) for c in columns}
+    return df.select(*[new.get(c, old[c]).alias(c) for c in columns])
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language_id.learn(docs.filter(language_id.in_training("doc_id")), "text", "lang")
-    judged = language_id.identify(packed(docs), profiles, ["doc"])
+    judged = language_id.identify(packed(docs), profiles, ["doc", "text"])
     known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)
-    return judged.filter(known).select("doc.*")
+    return unpacked(judged.filter(known), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,25 +51,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontamination.decontaminate(packed(docs), table(spark, sf_dir, "benchmark"), ["doc"])
-    return marked.filter("n_hit = 0").select("doc.*")
+    marked = decontamination.decontaminate(packed(docs), table(spark, sf_dir, "benchmark"), ["doc", "text"])
+    return unpacked(marked.filter("n_hit = 0"), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = secret_scan.redact(packed(docs), ["doc"])
-    changed = F.col("n_secrets") > 0
-    new = {
-        "text": F.col("redacted"),
-        "n_chars": F.when(changed, F.char_length("redacted").cast("long")).otherwise(F.col("doc.n_chars")),
-    }
-    return made.select(*[new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    length = F.when(F.col("n_secrets") > 0, F.char_length("redacted").cast("long")).otherwise(F.col("doc.n_chars"))
+    return unpacked(made, docs.columns, text=F.col("redacted"), n_chars=length)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     texts = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
-    ids = byte_bpe.encode(texts, path, pattern, ["doc_id", "text_sha256"])
-    back = byte_bpe.decode(ids, path, pattern, ["doc_id", "n_tokens", "ids", "text_sha256"])
+    back = byte_bpe.encode_and_decode(texts, path, pattern, ["doc_id", "text_sha256"])
     digest = F.sha2("decoded", 256)
     return back.select(
         "doc_id", "n_tokens", "ids", digest.alias("decoded_sha256"), (digest == F.col("text_sha256")).alias("same_text")

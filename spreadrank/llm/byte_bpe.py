@@ -3,8 +3,8 @@
 Merging by rank gives every prefix of a pre-token one result, and a list of tokens is the result for
 its bytes exactly when each two neighbours are the result for theirs. So the last token of every prefix
 can be told from the last tokens of shorter ones, and the merges compile into a finite-state transducer:
-its state is the unfinished end of the input that may still be part of a longer token, with the tokens
-chosen up to each place where that token may begin. What all these choices share is emitted, so
+its state is each place where the unfinished end of the input may begin a longer token, with the tokens
+chosen up to there. What all these choices share is emitted, so
 a token leaves after a lookahead of at most the longest token. States are made when first reached, and
 forgotten together when there are ``MAX_STATES`` of them.
 
@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 
 from spreadrank.llm.common import per_row
 
-MAX_STATES = 200_000
+MAX_STATES = 300_000
 MAX_PAIRS = 150_000
-MAX_PIECES = 200_000
+MAX_PIECES = 600_000
 MAX_KEPT_PIECE = 32
 DECODE_CHUNK = 65_536
 NEVER = 1 << 62
+NONE = -1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,13 +52,17 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = NEVER) -> list[byt
     return parts
 
 
+def packed(ids) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 class State(dict):
-    """Next state and emitted tokens by input byte."""
+    """Next state and emitted ids by input byte."""
 
-    __slots__ = ("tail", "starts", "last", "maker")
+    __slots__ = ("starts", "last", "maker")
 
-    def __init__(self, maker: Transducer, tail: bytes, starts: tuple, last: bytes):
-        self.maker, self.tail, self.starts, self.last = maker, tail, starts, last
+    def __init__(self, maker: Transducer, starts: tuple, last: int):
+        self.maker, self.starts, self.last = maker, starts, last
 
     def __missing__(self, byte: int):
         self[byte] = step = self.maker.step(self, byte)
@@ -65,29 +70,44 @@ class State(dict):
 
 
 class Transducer:
+    """Tokens are known by their ranks, and unfinished tokens by their node in the vocabulary's trie."""
+
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
-        self.unfinished = {token[:i] for token in ranks for i in range(1, len(token))}
-        self.edges: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.trie: dict[int, int] = {}
+        self.rank_at, self.inner = [NONE], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                if (below := self.trie.get(node << 8 | byte)) is None:
+                    below = self.trie[node << 8 | byte] = len(self.rank_at)
+                    self.rank_at.append(NONE)
+                    self.inner.append(False)
+                node = below
+            self.rank_at[node] = rank
+        self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.states: dict[tuple, State] = {}
-        self.start = self.state(b"", ((0, ()),), b"")
+        self.start = self.state(((0, ()),), NONE)
 
-    def state(self, tail: bytes, starts: tuple, last: bytes) -> State:
-        """``starts``: for each place in ``tail`` where a token may begin, the tokens chosen up to there."""
-        key = (tail, starts, last)
+    def state(self, starts: tuple, last: int) -> State:
+        """``starts``: for each place where the unfinished end may begin a token, longest first, its node in the trie
+        and the tokens chosen up to there since the last one emitted."""
+        key = (starts, last)
         if (found := self.states.get(key)) is None:
-            found = self.states[key] = State(self, tail, starts, last)
+            found = self.states[key] = State(self, starts, last)
         return found
 
-    def edge(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
-        """The tokens that stand at the left (0) or right (-1) end of ``token`` while it is being merged,
-        each with the rank of the merge that uses it up. Empty if merging does not make ``token``."""
-        if (found := self.edges.get((token, side))) is None:
-            found, used, part = [], NEVER, token
+    def edge(self, rank: int, side: int) -> list[tuple[bytes, int]]:
+        """The tokens that stand at the left (0) or right (-1) end of a token while it is being merged,
+        each with the rank of the merge that uses it up. Empty if merging does not make the token."""
+        if (found := self.edges.get((rank, side))) is None:
+            found, used, part = [], NEVER, self.tokens[rank]
             while True:
                 found.append((part, used))
                 if len(part) == 1:
@@ -98,47 +118,53 @@ class Transducer:
                     found = []
                     break
                 part = halves[side]
-            self.edges[token, side] = found
+            self.edges[rank, side] = found
         return found
 
-    def follows(self, last: bytes, token: bytes) -> bool:
+    def follows(self, last: int, rank: int) -> bool:
         """Whether merging leaves the two side by side: no merge across their border comes before the
         merges that use up its two sides. Of equal ranks the left one comes first."""
-        key = (last, token)
-        if (found := self.pairs.get(key)) is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            left, right, rank = self.edge(last, -1) if last else [(b"", NEVER)], self.edge(token, 0), self.ranks.get
-            found = bool(left and right) and not (
-                last and any(rank(a + b, NEVER) < u and rank(a + b, NEVER) <= v for a, u in left for b, v in right)
-            )
-            self.pairs[key] = found
-        return found
+        right = self.edge(rank, 0)
+        if last == NONE or not right:
+            return bool(right)
+        known = self.ranks
+        for a, before in self.edge(last, -1):
+            for b, until in right:
+                across = known.get(a + b, NEVER)
+                if across < before and across <= until:
+                    return False
+        return True
 
     def step(self, state: State, byte: int) -> tuple[State, bytes]:
-        """Emitted tokens are given as their ids, four bytes each."""
-        tail = state.tail + bytes((byte,))
-        unfinished, here, paths = self.unfinished, None, []
-        for at, path in state.starts:
-            token = tail[at:]
-            if here is None and token in self.ranks and self.follows(path[-1] if path else state.last, token):
-                here = (*path, token)
-            if token in unfinished:
-                paths.append((at, path))
+        """The next state, and the ids of what is emitted, four bytes each."""
+        trie, last, here, paths = self.trie, state.last, None, []
+        for node, path in state.starts:
+            below = trie.get(node << 8 | byte)
+            if below is None:
+                continue
+            if here is None and (rank := self.rank_at[below]) != NONE:
+                pair = (path[-1] if path else last, rank)
+                if (fits := self.pairs.get(pair)) is None:
+                    if len(self.pairs) >= MAX_PAIRS:
+                        self.pairs.clear()
+                    fits = self.pairs[pair] = self.follows(*pair)
+                if fits:
+                    here = (*path, rank)
+            if self.inner[below]:
+                paths.append((below, path))
         if here is None:
             raise ValueError("the vocabulary has no token for a byte")
-        paths.append((len(tail), here))
-        shared = 0
-        shortest = min(len(path) for _, path in paths)
-        while shared < shortest and all(path[shared] == here[shared] for _, path in paths):
-            shared += 1
-        out, first = here[:shared], paths[0][0]
-        starts = tuple((at - first, path[shared:]) for at, path in paths)
-        last = (out[-1] if out else state.last) if any(not path for _, path in starts) else b""
-        return self.state(tail[first:], starts, last), self.packed(out)
-
-    def packed(self, tokens) -> bytes:
-        return b"".join([self.ranks[t].to_bytes(4, "little") for t in tokens])
+        shared = len(here)
+        for _, path in paths:
+            shared = min(shared, len(path))
+            while path[:shared] != here[:shared]:
+                shared -= 1
+        paths.append((0, here))
+        if not shared:
+            return self.state(tuple(paths), last if any(not path for _, path in paths) else NONE), b""
+        starts = tuple([(node, path[shared:]) for node, path in paths])
+        kept = here[shared - 1] if any(not path for _, path in starts) else NONE
+        return self.state(starts, kept), packed(here[:shared])
 
     def encode(self, piece: bytes) -> bytes:
         if (whole := self.ranks.get(piece)) is not None:
@@ -150,7 +176,7 @@ class Transducer:
             state, out = state[byte]
             if out:
                 ids.append(out)
-        ids.append(self.packed(state.starts[-1][1]))
+        ids.append(packed(state.starts[-1][1]))
         return b"".join(ids)
 
 
@@ -158,7 +184,8 @@ class Codec:
     """Encodes texts match by match, and decodes ids."""
 
     def __init__(self, path: str, pattern: str):
-        self.ranks, self.cut, self.known = read_ranks(path), regex.compile(pattern), {}
+        self.ranks, self.cut = read_ranks(path), regex.compile(pattern)
+        self.known: dict[str, bytes] = {}
         self.transducer: Transducer | None = None
         self.tokens = {rank: token for token, rank in self.ranks.items()}
 
@@ -230,3 +257,25 @@ def decode(df: DataFrame, path: str, pattern: str, keep: list[str], ids_col: str
         return run
 
     return per_row(df, keep, ids_col, "decoded binary, valid_utf8 boolean", work)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep`` and ``n_tokens, ids, decoded, valid_utf8``: both steps in one pass over the rows, which
+    spares sending the ids out of the workers and back."""
+
+    def work():
+        own = codec(path, pattern)
+
+        def run(texts):
+            ids = [own.encode(t or "") for t in texts]
+            made = [own.decode(np.frombuffer(i, dtype="<u4")) for i in ids]
+            return [
+                pa.array([len(i) // 4 for i in ids], pa.int64()),
+                pa.array(ids, pa.binary()),
+                pa.array([b for b, _ in made], pa.binary()),
+                pa.array([v for _, v in made], pa.bool_()),
+            ]
+
+        return run
+
+    return per_row(df, keep, text_col, "n_tokens long, ids binary, decoded binary, valid_utf8 boolean", work)

@@ -35,10 +35,14 @@ def op3_warc(spark, sf_dir):
 
 def op4_byte_bpe(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    made = byte_bpe.encode(table(spark, sf_dir, "documents"), path, pattern, ["doc_id"])
-    made = made.withColumn("ids_sha256", F.sha2("ids", 256))
-    back = byte_bpe.decode(made, path, pattern, ["doc_id", "n_tokens", "ids_sha256"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "valid_utf8")
+    made = byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), path, pattern, ["doc_id"])
+    return made.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "valid_utf8",
+    )
 
 
 def op5_near_dedup(spark, sf_dir):

@@ -214,7 +214,7 @@ def test_tokens_leave_after_bounded_lookahead():
     for byte in b"thequickbrownfoxjumpsoverthelazydog" * 200:
         state, out = state[byte]
         waiting = 0 if out else waiting + 1
-        assert waiting <= 2 * longest and len(state.tail) <= longest
+        assert waiting <= 2 * longest and len(state.starts) <= longest
 
 
 def test_codec_of_odd_texts(spark):
