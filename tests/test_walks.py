@@ -39,6 +39,8 @@ def test_walks_follow_edges(five):
 def test_walks_do_not_depend_on_the_layout(spark, hub, monkeypatch):
     usual = lists(w.generate_walks(hub, 4, 8))
     assert lists(w.generate_walks(hub, 4, 8, limits=TINY)) == usual
+    monkeypatch.setattr(w, "BROADCAST_EDGES", 0)
+    assert lists(w.generate_walks(hub, 4, 8)) == usual
     monkeypatch.setattr(w, "partitions_for", lambda *a: 3)
     monkeypatch.setattr(w, "CELLS_PER_TASK", 2)
     monkeypatch.setattr(w, "ROUNDS_PER_WRITE", 1)
@@ -91,5 +93,8 @@ def test_first_steps_follow_the_weights(hub):
 def test_vocabulary_counts_every_node(five):
     walks = w.generate_walks(five, 2, 5)
     counts = {r.node: r.frequency for r in w.vocabulary(walks).collect()}
+    ranked = w.ranked_vocabulary(walks).orderBy("place").collect()
+    assert [r.place for r in ranked] == list(range(5))
+    assert [(r.node, r.frequency) for r in ranked] == sorted(counts.items(), key=lambda c: (-c[1], c[0]))
     assert set(counts) == {"a", "b", "c", "d", "e"}
     assert sum(counts.values()) == walks.count()
