@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 from functools import cache
 
 import numpy as np
@@ -88,11 +89,14 @@ class Transducer:
                 node = below
             self.rank_at[node] = rank
         self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+        self.states: dict[tuple, State] = {}
         self.clear()
 
     def clear(self) -> None:
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.states: dict[tuple, State] = {}
+        for state in self.states.values():
+            state.clear()  # States refer to each other in circles.
+        self.states = {}
         self.start = self.state(((0, ()),), NONE)
 
     def state(self, starts: tuple, last: int) -> State:
@@ -187,7 +191,9 @@ class Codec:
         self.ranks, self.cut = read_ranks(path), regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.transducer: Transducer | None = None
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
 
     def encode(self, text: str) -> bytes:
         pieces = self.cut.findall(text)
@@ -208,7 +214,7 @@ class Codec:
         return ids
 
     def decode(self, ids: np.ndarray) -> tuple[bytes, bool]:
-        """The bytes, and whether they are UTF-8. Unknown ids raise KeyError."""
+        """The bytes, and whether they are UTF-8. Ids beyond the vocabulary raise IndexError."""
         decoder, parts, clean = codecs.getincrementaldecoder("utf-8")(), [], True
         for at in range(0, len(ids), DECODE_CHUNK):
             parts.append(b"".join(map(self.tokens.__getitem__, ids[at : at + DECODE_CHUNK].tolist())))
@@ -226,6 +232,8 @@ def _feeds(decoder: codecs.IncrementalDecoder, chunk: bytes, final: bool) -> boo
 
 @cache
 def codec(path: str, pattern: str) -> Codec:
+    # The tables are a great many objects that stay; looking through them for garbage is half in vain.
+    gc.set_threshold(100_000, 20, 100)
     return Codec(path, pattern)
 
 
