@@ -226,20 +226,20 @@ union all select 'edges', count(*) from edge_table where edge_weight >= 0.1""",
     "graph_stats": f"""with {GRAPH}
 select (select count(*) from nodes) n_nodes, (select count(*) from e) n_edges, true is_directed""",
     "top5_outdegree": f"""with {GRAPH}
-select id, round(coalesce(out_weight, 0), 6) weighted_outdegree
+select id, round(coalesce(out_weight, 0), 9) weighted_outdegree
 from nodes left join outs on src = id order by coalesce(out_weight, 0) desc, id limit 5""",
     "weighted_outdegree": f"""with {GRAPH}
-select id, round(coalesce(out_weight, 0.0), 6) weighted_outdegree
+select id, round(coalesce(out_weight, 0.0), 9) weighted_outdegree
 from nodes left join outs on src = id""",
     "outdegree": f"""with {GRAPH}
 select id, coalesce(out_degree, 0) outdegree from nodes left join outs on src = id""",
     "pagerank": f"""with {GRAPH}, {pagerank_ctes()}
 select id, round(pagerank, 9) pagerank from pr""",
     "transition_prob": f"""with {GRAPH}
-select src, dst, round(weight, 8) weight, round(weight / out_weight, 8) prob
+select src, dst, round(weight, 9) weight, round(weight / out_weight, 8) prob
 from e join outs using (src)""",
     "second_order_prob": f"""with {GRAPH}, {WEDGES}
-select prev, cur, round(sum(bias), 6) total,
+select prev, cur, round(sum(bias), 9) total,
   round(coalesce(sum(bias) filter (kind = 'return'), 0) / sum(bias), 6) prob_return,
   round(coalesce(sum(bias) filter (kind = 'common'), 0) / sum(bias), 6) prob_common,
   round(coalesce(sum(bias) filter (kind = 'far'), 0) / sum(bias), 6) prob_far
@@ -250,7 +250,7 @@ seen as (
   from walks a join walks b on b.walk_id = a.walk_id and b.step = a.step + 1
   join walks c on c.walk_id = a.walk_id and c.step = a.step + 2),
 shared as (select *, bias / sum(bias) over (partition by prev, cur) prob from biased)
-select prev, cur, dst, round(bias, 6) bias, round(prob, 6) prob
+select prev, cur, dst, round(bias, 9) bias, round(prob, 6) prob
 from seen join shared using (prev, cur, dst)""",
     "walks": f"with {WALKS} select walk_id, step, node from walks",
     "walks_vocab": f"""with {WALKS}
@@ -259,11 +259,11 @@ from walks group by node""",
     "csv_round_trip": f"with {RAW} select * from raw",
     "sample_graph": f"with {GRAPH}, {TOP_SAMPLE} select id, outdegree from chosen",
     "sample_graph_edges": f"""with {GRAPH}, {TOP_SAMPLE}
-select src, dst, round(weight, 6) weight from e
+select src, dst, round(weight, 9) weight from e
 where src in (select id from chosen) and dst in (select id from chosen)""",
-    "ego_network": f"with {EGO} select src, dst, round(weight, 6) weight from ego_edges",
+    "ego_network": f"with {EGO} select src, dst, round(weight, 9) weight from ego_edges",
     "successors": f"""with {SCORES}
-select src, dst, round(weight, 6) weight from e where src in (select id from top)""",
+select src, dst, round(weight, 9) weight from e where src in (select id from top)""",
     "embedding_norm": f"with {VECTORS} select id, round(emb_norm, 6) emb_norm from norms",
     "most_similar": f"""with {VECTORS}, wanted as (select vector w from vectors where id = 'u7')
 select id, round(list_cosine_similarity(vector, w), 6) similarity
@@ -274,13 +274,13 @@ select id, list_cosine_similarity(vector, w) similarity
 from vectors, wanted order by 2 desc, 1 limit 5""",
     "score_inputs": f"""with {SCORES}
 select node_id, round(emb_norm, 6) emb_norm, round(pagerank, 6) pagerank,
-  round(weighted_outdegree, 6) weighted_outdegree from inputs""",
+  round(weighted_outdegree, 9) weighted_outdegree from inputs""",
     "score_scaled": f"""with {SCORES}
 select node_id, round(emb_norm_n, 6) emb_norm_n, round(pagerank_n, 6) pagerank_n,
   round(outdegree_n, 6) outdegree_n from scaled""",
     "influence": f"""with {SCORES}
 select "rank", node_id, round(emb_norm, 6) emb_norm, round(pagerank, 6) pagerank,
-  round(weighted_outdegree, 6) weighted_outdegree, round(emb_norm_n, 6) emb_norm_n,
+  round(weighted_outdegree, 9) weighted_outdegree, round(emb_norm_n, 6) emb_norm_n,
   round(pagerank_n, 6) pagerank_n, round(outdegree_n, 6) outdegree_n,
   round(influence_score, 6) influence_score from influence""",
     "top_spreaders": f"""with {SCORES}
@@ -323,7 +323,7 @@ select distinct src node_id, true score_is_product, true count_in_range from e j
 inputs as (
   select n.id node_id, coalesce(pagerank, 0.0) pagerank, coalesce(out_weight, 0.0) weighted_outdegree
   from nodes n left join pr on pr.id = n.id left join outs on src = n.id)
-select node_id, round(pagerank, 9) pagerank, round(weighted_outdegree, 6) weighted_outdegree,
+select node_id, round(pagerank, 9) pagerank, round(weighted_outdegree, 9) weighted_outdegree,
   round((pagerank - min(pagerank) over ()) / (max(pagerank) over () - min(pagerank) over ()), 6) pagerank_n,
   round((weighted_outdegree - min(weighted_outdegree) over ())
     / (max(weighted_outdegree) over () - min(weighted_outdegree) over ()), 6) outdegree_n

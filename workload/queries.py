@@ -1,4 +1,7 @@
-"""One callable per query: (spark, sf_dir) -> DataFrame. Numbers are rounded for comparison."""
+"""One callable per query: (spark, sf_dir) -> DataFrame. Numbers are rounded for comparison.
+
+Sums of weights have nine decimals, so they are rounded to nine: to fewer, the two engines would have ties to settle.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +44,7 @@ def influence_of(spark: SparkSession, sf_dir: str, g: graph.Graph) -> DataFrame:
 
 
 SCALED = ["emb_norm_n", "pagerank_n", "outdegree_n"]
-MEASURES = ["emb_norm", "pagerank", "weighted_outdegree"]
+MEASURES = ["emb_norm", "pagerank"]
 
 
 def q_clean(spark, sf):
@@ -76,11 +79,11 @@ def q_graph_stats(spark, sf):
 
 
 def q_top5(spark, sf):
-    return rounded(graph.top_by_outdegree(graph_of(spark, sf)), "weighted_outdegree")
+    return rounded(graph.top_by_outdegree(graph_of(spark, sf)), "weighted_outdegree", digits=9)
 
 
 def q_weighted_outdegree(spark, sf):
-    return rounded(graph.weighted_outdegree(graph_of(spark, sf)), "weighted_outdegree")
+    return rounded(graph.weighted_outdegree(graph_of(spark, sf)), "weighted_outdegree", digits=9)
 
 
 def q_outdegree(spark, sf):
@@ -92,18 +95,18 @@ def q_pagerank(spark, sf):
 
 
 def q_transition_prob(spark, sf):
-    return rounded(graph.transition_probabilities(graph_of(spark, sf)), "weight", "prob", digits=8)
+    return rounded(rounded(graph.transition_probabilities(graph_of(spark, sf)), "weight", digits=9), "prob", digits=8)
 
 
 def q_second_order(spark, sf):
     table = second_order.second_order_totals(graph_of(spark, sf))
-    return rounded(table, "total", "prob_return", "prob_common", "prob_far")
+    return rounded(rounded(table, "total", digits=9), "prob_return", "prob_common", "prob_far")
 
 
 def q_transition_bias(spark, sf):
     g = graph_of(spark, sf)
     seen = second_order.observed_transitions(walks.generate_walks(g))
-    return rounded(second_order.transition_bias(g, seen), "bias", "prob")
+    return rounded(rounded(second_order.transition_bias(g, seen), "bias", digits=9), "prob")
 
 
 def q_walks(spark, sf):
@@ -126,13 +129,13 @@ def q_sample_nodes(spark, sf):
 
 
 def q_sample_edges(spark, sf):
-    return rounded(graph.sample_graph(graph_of(spark, sf), 50)[1], "weight")
+    return rounded(graph.sample_graph(graph_of(spark, sf), 50)[1], "weight", digits=9)
 
 
 def q_ego_network(spark, sf):
     g = graph_of(spark, sf)
     nodes, edges = subgraph.ego_network(g, influence_of(spark, sf, g))
-    return rounded(edges, "weight")
+    return rounded(edges, "weight", digits=9)
 
 
 def q_embedding_norm(spark, sf):
@@ -148,7 +151,7 @@ def q_most_similar_unknown(spark, sf):
 
 
 def q_score_inputs(spark, sf):
-    return rounded(scores_of(spark, sf, graph_of(spark, sf)), *MEASURES)
+    return rounded(rounded(scores_of(spark, sf, graph_of(spark, sf)), *MEASURES), "weighted_outdegree", digits=9)
 
 
 def q_score_scaled(spark, sf):
@@ -158,7 +161,7 @@ def q_score_scaled(spark, sf):
 
 def q_influence(spark, sf):
     ranked = influence_of(spark, sf, graph_of(spark, sf))
-    return rounded(ranked, *MEASURES, *SCALED, "influence_score")
+    return rounded(rounded(ranked, *MEASURES, *SCALED, "influence_score"), "weighted_outdegree", digits=9)
 
 
 def q_top_spreaders(spark, sf):
@@ -213,7 +216,7 @@ def q_plot_bars(spark, sf):
 def q_successors(spark, sf):
     g = graph_of(spark, sf)
     best = subgraph.best_nodes(influence_of(spark, sf, g), 10)
-    return rounded(graph.successors(g, best), "weight")
+    return rounded(graph.successors(g, best), "weight", digits=9)
 
 
 def sound(vectors: DataFrame) -> DataFrame:
@@ -281,7 +284,7 @@ def q_full_run(spark, sf):
     """The whole run; of its influence table the columns that do not rest on learned vectors."""
     table = run.run(adapter.interactions(spark, sf))["influence"]
     table = table.select("node_id", "pagerank", "weighted_outdegree", "pagerank_n", "outdegree_n")
-    return rounded(rounded(table, "pagerank", digits=9), "weighted_outdegree", "pagerank_n", "outdegree_n")
+    return rounded(rounded(table, "pagerank", "weighted_outdegree", digits=9), "pagerank_n", "outdegree_n")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
