@@ -19,14 +19,14 @@ from __future__ import annotations
 import base64
 import codecs
 import gc
-from functools import cache
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spreadrank.llm.common import per_row
+from spreadrank.llm.common import held, per_row
 
 MAX_STATES = 300_000
 MAX_PAIRS = 150_000
@@ -57,21 +57,11 @@ def packed(ids) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-class State(dict):
-    """Next state and emitted ids by input byte."""
-
-    __slots__ = ("starts", "last", "maker")
-
-    def __init__(self, maker: Transducer, starts: tuple, last: int):
-        self.maker, self.starts, self.last = maker, starts, last
-
-    def __missing__(self, byte: int):
-        self[byte] = step = self.maker.step(self, byte)
-        return step
-
-
 class Transducer:
-    """Tokens are known by their ranks, and unfinished tokens by their node in the vocabulary's trie."""
+    """Tokens are known by their ranks, unfinished tokens by their node in the vocabulary's trie, and states by
+    number. A state is, for each place where the unfinished end may begin a token, longest first, the node and
+    the tokens chosen up to there since the last one emitted, and that last one where it still matters. Thousands
+    of states are kept, so each is one string of numbers."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -89,24 +79,37 @@ class Transducer:
                 node = below
             self.rank_at[node] = rank
         self.edges: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
-        self.states: dict[tuple, State] = {}
         self.clear()
 
     def clear(self) -> None:
         self.pairs: dict[tuple[int, int], bool] = {}
-        for state in self.states.values():
-            state.clear()  # States refer to each other in circles.
-        self.states = {}
-        self.start = self.state(((0, ()),), NONE)
-
-    def state(self, starts: tuple, last: int) -> State:
-        """``starts``: for each place where the unfinished end may begin a token, longest first, its node in the trie
-        and the tokens chosen up to there since the last one emitted."""
-        key = (starts, last)
-        if (found := self.states.get(key)) is None:
-            found = self.states[key] = State(self, starts, last)
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        # By state << 8 | byte: the next state times two, plus one where something is emitted; and what.
+        self.next: dict[int, int] = {}
+        self.out: dict[int, bytes] = {}
+        # What is left to emit if the input ends in a state.
+        self.rest: dict[int, bytes] = {}
+        self.state([(0, ())], NONE)
+
+    def state(self, starts: list[tuple[int, tuple]], last: int) -> int:
+        numbers = [last]
+        for node, path in starts:
+            numbers += (node, len(path), *path)
+        key = array("i", numbers).tobytes()
+        if (found := self.numbers.get(key)) is None:
+            found = self.numbers[key] = len(self.states)
+            self.states.append(key)
         return found
 
+    def starts(self, state: int) -> tuple[list[tuple[int, tuple]], int]:
+        numbers, at, found = array("i", self.states[state]), 1, []
+        while at < len(numbers):
+            end = at + 2 + numbers[at + 1]
+            found.append((numbers[at], tuple(numbers[at + 2 : end])))
+            at = end
+        return found, numbers[0]
+
     def edge(self, rank: int, side: int) -> list[tuple[bytes, int]]:
         """The tokens that stand at the left (0) or right (-1) end of a token while it is being merged,
         each with the rank of the merge that uses it up. Empty if merging does not make the token."""
@@ -139,10 +142,11 @@ class Transducer:
                     return False
         return True
 
-    def step(self, state: State, byte: int) -> tuple[State, bytes]:
-        """The next state, and the ids of what is emitted, four bytes each."""
-        trie, last, here, paths = self.trie, state.last, None, []
-        for node, path in state.starts:
+    def step(self, state: int, byte: int) -> int:
+        """Work out the entry of ``next``, and of ``out``, for a state and a byte."""
+        trie, here, paths = self.trie, None, []
+        starts, last = self.starts(state)
+        for node, path in starts:
             below = trie.get(node << 8 | byte)
             if below is None:
                 continue
@@ -164,23 +168,32 @@ class Transducer:
             while path[:shared] != here[:shared]:
                 shared -= 1
         paths.append((0, here))
-        if not shared:
-            return self.state(tuple(paths), last if any(not path for _, path in paths) else NONE), b""
-        starts = tuple([(node, path[shared:]) for node, path in paths])
-        kept = here[shared - 1] if any(not path for _, path in starts) else NONE
-        return self.state(starts, kept), packed(here[:shared])
+        key = state << 8 | byte
+        if shared:
+            paths = [(node, path[shared:]) for node, path in paths]
+            last = here[shared - 1]
+            self.out[key] = packed(here[:shared])
+        kept = last if any(not path for _, path in paths) else NONE
+        found = self.next[key] = self.state(paths, kept) << 1 | bool(shared)
+        return found
 
     def encode(self, piece: bytes) -> bytes:
         if (whole := self.ranks.get(piece)) is not None:
             return whole.to_bytes(4, "little")
         if len(self.states) > self.max_states:
             self.clear()
-        state, ids = self.start, []
+        known, out, state, ids = self.next, self.out, 0, []
         for byte in piece:
-            state, out = state[byte]
-            if out:
-                ids.append(out)
-        ids.append(packed(state.starts[-1][1]))
+            key = state << 8 | byte
+            step = known.get(key)
+            if step is None:
+                step = self.step(state, byte)
+            if step & 1:
+                ids.append(out[key])
+            state = step >> 1
+        if (rest := self.rest.get(state)) is None:
+            rest = self.rest[state] = packed(self.starts(state)[0][-1][1])
+        ids.append(rest)
         return b"".join(ids)
 
 
@@ -230,11 +243,14 @@ def _feeds(decoder: codecs.IncrementalDecoder, chunk: bytes, final: bool) -> boo
     return True
 
 
-@cache
 def codec(path: str, pattern: str) -> Codec:
-    # The tables are a great many objects that stay; looking through them for garbage is half in vain.
+    # The tables are a great many objects that stay; looking through them for garbage is in vain.
     gc.set_threshold(100_000, 20, 100)
-    return Codec(path, pattern)
+
+    def make() -> Codec:
+        return Codec(path, pattern)
+
+    return held(f"{path} {pattern}", make)
 
 
 def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -18,9 +18,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """A table that a worker makes once and keeps for its next tasks. Workers outlive their stage, so the
+    tables of one module are dropped when a worker comes to need another's."""
+    key = (make.__module__, name)
+    if key not in _held:
+        for other in [k for k in _held if k[0] != key[0]]:
+            del _held[other]
+        _held[key] = make()
+    return _held[key]
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    module = run.__module__
+
+    def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if module != __name__:
+            for other in [k for k in _held if k[0] != module]:
+                del _held[other]
+        yield from run(batches)
+
+    return df.mapInArrow(alone, schema)
 
 
 def type_of(df: DataFrame, name: str) -> str:
@@ -53,6 +75,8 @@ def per_row(
     names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in _held if k[0] != make.__module__]:
+            del _held[other]
         work = make()
         for part in sliced(batches):
             arrays = work(part.column(at).to_pylist())

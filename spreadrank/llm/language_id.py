@@ -18,22 +18,24 @@ with a null or empty language or text are not learned from. Each row gives a row
 from __future__ import annotations
 
 import sys
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import map_arrow, per_row, sliced
+from spreadrank.llm.common import held, map_arrow, per_row, sliced
 
 UNKNOWN = "und"
 BLANK = 0x20
 BITS = 21
 
 
-@cache
 def letters() -> np.ndarray:
+    return held("letters", _letters)
+
+
+def _letters() -> np.ndarray:
     """Lower case of each letter by code point, a blank for all else."""
     table = np.full(sys.maxunicode + 1, BLANK, np.uint32)
     for code in range(sys.maxunicode + 1):

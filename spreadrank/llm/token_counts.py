@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cache
 
 import pyarrow as pa
 import regex
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spreadrank.llm.common import lists, map_arrow, per_row
+from spreadrank.llm.common import held, lists, map_arrow, per_row
 from spreadrank.storage import materialize
 
 # Fixed value: how the tokenizer of lower-case words cuts normalised text.
@@ -76,9 +75,11 @@ class PreTokens:
         return len(self.tokenizer.model.tokenize(shown))
 
 
-@cache
 def pre_tokens(path: str) -> PreTokens:
-    return PreTokens(path)
+    def make() -> PreTokens:
+        return PreTokens(path)
+
+    return held(path, make)
 
 
 def _counted(words: DataFrame, path: str) -> DataFrame:
