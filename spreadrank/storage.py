@@ -7,6 +7,8 @@ re-read of a file and not a recomputation of all earlier rounds.
 from __future__ import annotations
 
 import math
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,12 +20,15 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the session names in ``spark.checkpoint.dir``.
 
-    A session that names none is refused: a folder on one machine would not be visible to the executors.
+    Where nothing is set, a session whose executors are threads of its own process gets a folder of its own;
+    any other is refused, because a folder on one machine would not be visible to the executors.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        named = tempfile.mkdtemp(prefix="spreadrank-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named.rstrip("/")

@@ -32,9 +32,15 @@ def test_folder_set_on_the_context_is_kept():
     assert storage.work_dir(Session("yarn", folder="hdfs://other/x")) == "hdfs://other/x"
 
 
-def test_cluster_without_a_folder_is_refused():
+@pytest.mark.parametrize("master", ["yarn", "local-cluster[2,1,512]"])
+def test_cluster_without_a_folder_is_refused(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        storage.work_dir(Session("yarn"))
+        storage.work_dir(Session(master))
+
+
+def test_a_local_session_gets_a_folder():
+    session = Session("local[4]")
+    assert storage.work_dir(session) == session.sparkContext.folder
 
 
 def test_checkpointed_groups_are_not_shuffled_again(spark):
