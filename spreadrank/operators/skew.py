@@ -9,13 +9,14 @@ from spreadrank.params import DEFAULTS, SkewLimits
 
 
 def hot_keys(df: DataFrame, on: list[str], rows: int, limits: SkewLimits = DEFAULTS.skew) -> DataFrame:
-    """Keys with more rows than the threshold, and their row count ``n``.
+    """Keys with more rows than the threshold, and their row count ``n``; the ``limits.max_hot`` most frequent
+    ones if the table has more rows than ``rows`` says.
 
-    The counts are combined before the shuffle. Fewer than ``rows / threshold`` keys can pass, which
-    is at most ``limits.max_hot``; that bound is what makes the result safe to broadcast.
+    The counts are combined before the shuffle. The bound on the number of keys is what makes the result safe
+    to broadcast. A key that is left out is joined like any other, so it costs time and no rows.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") > limits.threshold(rows))
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limits.threshold(rows))
+    return counts.orderBy(F.desc("n"), *on).limit(limits.max_hot)
 
 
 def split_join(

@@ -31,3 +31,6 @@ def test_hot_keys_are_few(left):
     assert {r.k: r.n for r in hot_keys(left, ["k"], 59, TINY).collect()} == {"hot": 50, "warm": 6}
     bounded = SkewLimits(min_rows=1, max_hot=2)
     assert hot_keys(left, ["k"], 59, bounded).count() <= 2
+    # Also where the caller is far off with the number of rows.
+    wrong = SkewLimits(min_rows=0, max_hot=1)
+    assert [(r.k, r.n) for r in hot_keys(left, ["k"], 0, wrong).collect()] == [("hot", 50)]
