@@ -24,6 +24,9 @@ from spreadrank.storage import materialize
 #: Least share of the greatest possible likeness to the nearest language. Prose has 0.4 and more.
 MIN_SCORE = 0.2
 
+#: Bounds on what an encoding worker remembers, some 150 MB: the workers of earlier stages live on beside it.
+STATES, PIECES = 60_000, 100_000
+
 #: No SQL: profiles, sketches and the transducer are out of its reach; tests compare with plain Python.
 ORACLE_SQL = None
 
@@ -64,7 +67,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     texts = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
-    back = byte_bpe.encode_and_decode(texts, path, pattern, ["doc_id", "text_sha256"])
+    back = byte_bpe.encode_and_decode(texts, path, pattern, ["doc_id", "text_sha256"], max_states=STATES, max_pieces=PIECES)
     digest = F.sha2("decoded", 256)
     return back.select(
         "doc_id", "n_tokens", "ids", digest.alias("decoded_sha256"), (digest == F.col("text_sha256")).alias("same_text")

@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame
 
 from spreadrank.llm.common import held, per_row
 
-MAX_STATES = 300_000
+#: States and whole pieces a worker remembers. That many take some 450 MB; a fifth of them 150 MB, at
+#: about twice the time on text with as many rare words as there are frequent ones.
+MAX_STATES, MAX_PIECES = 300_000, 600_000
 MAX_PAIRS = 150_000
-MAX_PIECES = 600_000
 MAX_KEPT_PIECE = 32
 DECODE_CHUNK = 65_536
 NEVER = 1 << 62
@@ -200,8 +201,9 @@ class Transducer:
 class Codec:
     """Encodes texts match by match, and decodes ids."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
         self.ranks, self.cut = read_ranks(path), regex.compile(pattern)
+        self.max_states, self.max_pieces = max_states, max_pieces
         self.known: dict[str, bytes] = {}
         self.transducer: Transducer | None = None
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
@@ -218,10 +220,10 @@ class Codec:
     def piece(self, piece: str) -> bytes:
         if (ids := self.known.get(piece)) is None:
             if self.transducer is None:
-                self.transducer = Transducer(self.ranks)
+                self.transducer = Transducer(self.ranks, self.max_states)
             ids = self.transducer.encode(piece.encode())
             if len(piece) <= MAX_KEPT_PIECE:
-                if len(self.known) >= MAX_PIECES:
+                if len(self.known) >= self.max_pieces:
                     self.known.clear()
                 self.known[piece] = ids
         return ids
@@ -243,14 +245,14 @@ def _feeds(decoder: codecs.IncrementalDecoder, chunk: bytes, final: bool) -> boo
     return True
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> Codec:
     # The tables are a great many objects that stay; looking through them for garbage is in vain.
     gc.set_threshold(100_000, 20, 100)
 
     def make() -> Codec:
-        return Codec(path, pattern)
+        return Codec(path, pattern, max_states, max_pieces)
 
-    return held(f"{path} {pattern}", make)
+    return held(f"{path} {pattern} {max_states} {max_pieces}", make)
 
 
 def encode(df: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -283,12 +285,20 @@ def decode(df: DataFrame, path: str, pattern: str, keep: list[str], ids_col: str
     return per_row(df, keep, ids_col, "decoded binary, valid_utf8 boolean", work)
 
 
-def encode_and_decode(df: DataFrame, path: str, pattern: str, keep: list[str], text_col: str = "text") -> DataFrame:
+def encode_and_decode(
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    keep: list[str],
+    text_col: str = "text",
+    max_states: int = MAX_STATES,
+    max_pieces: int = MAX_PIECES,
+) -> DataFrame:
     """The columns ``keep`` and ``n_tokens, ids, decoded, valid_utf8``: both steps in one pass over the rows, which
     spares sending the ids out of the workers and back."""
 
     def work():
-        own = codec(path, pattern)
+        own = codec(path, pattern, max_states, max_pieces)
 
         def run(texts):
             ids = [own.encode(t or "") for t in texts]

@@ -41,6 +41,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataF
             for other in [k for k in _held if k[0] != module]:
                 del _held[other]
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(alone, schema)
 
