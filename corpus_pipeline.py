@@ -1,6 +1,7 @@
 """From raw documents to token ids: a stage a step, each reading what its predecessor kept.
 
-1. ``language_id`` learns the languages from the labelled documents and drops those that are in none of them.
+1. ``language_id`` learns the languages from the labelled documents and drops those that are in none of them: without
+   letters, or unlabelled and without an n-gram of any profile.
 2. ``near_dedup`` keeps one document, the one with the least id, of each group of near-duplicates: five-word
    shingles, a similarity of 0.8 or more.
 3. ``decontamination`` drops the documents that hold a passage of the benchmark.
@@ -21,8 +22,9 @@ from spreadrank.llm import byte_bpe, decontamination, language_id, near_dedup, s
 from spreadrank.llm.common import table
 from spreadrank.storage import materialize
 
-#: Least share of the greatest possible likeness to the nearest language. Prose has 0.4 and more.
-MIN_SCORE = 0.2
+#: Between 0, the score of a text without an n-gram of any profile, and 1 / 300^2, the least score of all others. What
+#: prose scores depends on its length and script, so no greater score is asked for.
+MIN_SCORE = 0.5 / 300**2
 
 #: Bounds on what an encoding worker remembers, some 150 MB: the workers of earlier stages live on beside it.
 STATES, PIECES = 60_000, 100_000
@@ -45,7 +47,9 @@ def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language_id.learn(docs.filter(language_id.in_training("doc_id")), "text", "lang")
     judged = language_id.identify(packed(docs), profiles, ["doc", "text"])
-    known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_SCORE)
+    # A labelled text with letters is in its language, also if it is too short to have one of the frequent n-grams.
+    labelled = F.coalesce(F.col("doc").getField("lang") != "", F.lit(False))
+    known = (F.col("lang_pred") != language_id.UNKNOWN) & (labelled | (F.col("score") >= MIN_SCORE))
     return unpacked(judged.filter(known), docs.columns)
 
 

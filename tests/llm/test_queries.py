@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from spreadrank.llm import language_id
 from spreadrank.llm.common import table
 from tests.check_oracles import differences
 from tests.llm import brute
@@ -157,3 +159,23 @@ def test_stages_pass_all_columns_on(spark):
         if data:
             assert [r[0] for r in sorted(made, key=str)] == [1, None]
             assert next(r for r in made if r[0] is None)[1:5] == ("[SECRET] and the rest of the text", None, None, 34 - 1)
+
+
+def test_short_texts_of_a_large_script_stay(spark):
+    rnd = random.Random(3)
+    script = [chr(0x4E00 + i) for i in range(3500)]
+    weights = [1 / (i + 10) for i in range(3500)]
+
+    def text(n):
+        return "".join(rnd.choices(script, weights, k=n))
+
+    rows = [(i, text(8000), "zh") for i in range(50)]
+    rows += [(100 + i, text(rnd.randrange(20, 101)), "zh" if i % 2 else None) for i in range(100)]
+    rows += [(300, script[-1], "zh")]
+    out = [(400, "1234 !!", "zh"), (401, None, "zh"), (402, "", None), (403, "text of no labelled script", None)]
+    docs = spark.createDataFrame(rows + out, "doc_id long, text string, lang string")
+    profiles = language_id.learn(docs, "text", "lang")
+    scores = [r.score for r in language_id.identify(docs, profiles, ["doc_id"]).filter("doc_id between 100 and 199").collect()]
+    assert sum(0 < s < 0.2 for s in scores) > 50
+    kept = corpus_pipeline.identify_language(spark, docs, SF_DIR)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows)
