@@ -179,3 +179,12 @@ def test_short_texts_of_a_large_script_stay(spark):
     assert sum(0 < s < 0.2 for s in scores) > 50
     kept = corpus_pipeline.identify_language(spark, docs, SF_DIR)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows)
+
+
+def test_all_labelled_rows_teach_the_pipeline(spark):
+    outside = [i for i in range(100) if brute.held_out(i)]
+    plain = [(i, "the one and the other", "en") for i in range(100) if not brute.held_out(i)]
+    plain += [(i, "το ένα και το άλλο", "el") for i in outside[:3]] + [(outside[4], "και το άλλο", None)]
+    plain += [(None, "одно и другое", "ru"), (outside[5], "и другое", None)]
+    docs = spark.createDataFrame(plain + [(200, "漢字", None)], "doc_id long, text string, lang string")
+    assert rows(corpus_pipeline.identify_language(spark, docs, SF_DIR)) == Counter(plain)
