@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import fresh, map_arrow, sliced, type_of
+from spreadrank.llm.common import fresh, map_arrow, per_row, sliced, type_of
 from spreadrank.llm.components import connected_components
 from spreadrank.operators.skew import lookup
 from spreadrank.storage import materialize
@@ -77,6 +77,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def class_of(items: np.ndarray) -> bytes | None:
+    """The 128-bit digest of a set; none for the empty one."""
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
 def sketch(items: np.ndarray, size: int = SIZE) -> np.ndarray:
     """``size`` bins, each with the round in its upper 12 bits and the value in the others."""
     bins = np.full(size, np.iinfo(np.uint64).max, np.uint64)
@@ -123,13 +128,12 @@ def _described(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
             for text in batch.column(1).to_pylist():
                 items = shingles(text, words)
                 n.append(len(items))
+                classes.append(class_of(items))
                 if len(items):
                     bins = sketch(items)
-                    classes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest())
                     bands.append(band_keys(bins))
                     sketches.append(nibbles(bins))
                 else:
-                    classes.append(None)
                     bands.append(np.empty(0, np.int64))
                     sketches.append(None)
             ends = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
@@ -271,9 +275,7 @@ def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words:
     def run(batches):
         for batch in sliced(batches):
             texts, classes = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            same = [
-                hashlib.blake2b(shingles(t, words).tobytes(), digest_size=16).digest() == c for t, c in zip(texts, classes)
-            ]
+            same = [class_of(shingles(t, words)) == c for t, c in zip(texts, classes)]
             yield batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
 
     return map_arrow(found.select("node", "text", "class"), run, "node long, text string").groupBy("node").agg(
@@ -286,11 +288,9 @@ def _with_root(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return rows.join(named, "node", "left").withColumn(name, F.coalesce("_root", "node")).drop("_root")
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80
-) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` of each row: sets of ``words``-word shingles are linked when 100 *
-    intersection >= ``threshold`` * union; a component is named by its least id, whose rows are kept."""
+def _judged(df: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
+    """``id, n, class, component_id, first_class`` of each row. The class, the least id of the component and the
+    least class with that id are null for empty sets and rows without an id."""
     rows = materialize(_described(df, id_col, text_col, words), "described")
     n_rows = rows.count()
     set_rows = rows.filter("class is not null and id is not null")
@@ -335,12 +335,20 @@ def near_duplicates(
 
     grouped = nodes.select("class", "node", "id").join(roots, "node", "left")
     grouped = grouped.select("class", "id", F.coalesce("root", "node").alias("root"))
-    names = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = grouped.join(names, "root").select("class", "component_id")
+    first = F.min_by("class", F.struct("id", "class")).alias("first_class")
+    names = grouped.groupBy("root").agg(F.min("id").alias("component_id"), first)
+    named = grouped.join(names, "root").select("class", "component_id", "first_class")
     plain = rows.select("id", "n", F.when(F.col("id").isNotNull(), F.col("class")).alias("class"))
-    joined = lookup(plain, named, ["class"], n_rows, "left")
+    return lookup(plain, named, ["class"], n_rows, "left")
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80
+) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` of each row: sets of ``words``-word shingles are linked when 100 *
+    intersection >= ``threshold`` * union; a component is named by its least id, whose rows are kept."""
     component = F.coalesce("component_id", "id")
-    return joined.select(
+    return _judged(df, id_col, text_col, words, threshold).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -349,9 +357,39 @@ def near_duplicates(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``df`` without the near-duplicates of a document with a smaller id. Rows without an id stay."""
-    found = near_duplicates(df, id_col, text_col, words, threshold)
-    name = fresh(df, "_gone")
-    gone = materialize(found.filter("not kept").select(F.col(id_col).alias(name)).distinct(), "gone")
-    few = gone.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    return df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col(name), "left_anti")
+    """One row of each component of ``df``, one with the least id. If several rows have that id, they are of the
+    least class with it, and of these the row with the least text, then the least as JSON, stays. Rows without an id or
+    words stay. A row is dropped for its own text: others with its id do not go with it."""
+    stays = F.col("class").isNull() | ((F.col("id") == F.col("component_id")) & (F.col("class") == F.col("first_class")))
+    found = _judged(df, id_col, text_col, words, threshold).filter("id is not null").select("id", "class", stays.alias("stays"))
+    verdicts = found.groupBy("id", "class").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays"))
+    verdicts = materialize(verdicts, "verdicts")
+    name = fresh(df, "_id")
+    by_id = verdicts.groupBy(F.col("id").alias(name)).agg(
+        F.sum("n").alias("n"), F.max("stays").alias("stays"), F.max(F.col("class").isNotNull()).alias("words")
+    )
+
+    def of(ids: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        few = ids.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+        return rows.join(F.broadcast(ids) if few else ids, F.col(id_col) == F.col(name), how)
+
+    rest = of(materialize(by_id.filter("not stays").select(name), "gone"), "left_anti", df)
+    # Ids with several rows, not all of which go: the id does not tell which.
+    several = materialize(by_id.filter("stays and n > 1 and words").select(name), "several")
+    if several.isEmpty():
+        return rest
+
+    def work():
+        def run(texts):
+            return [pa.array([class_of(shingles(t, words)) for t in texts], pa.binary())]
+
+        return run
+
+    shared = of(several, "left_semi", rest).select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))
+    classed = materialize(per_row(shared, ["doc", "text"], "text", "class binary", work), "classed")
+    # Rows of one id and class are put together before they are shuffled, so no key is too large for the join.
+    least = F.min_by("doc", F.struct("text", F.to_json("doc"))).alias("doc")
+    one = classed.filter("class is not null").groupBy(F.col("doc").getField(id_col).alias("id"), "class").agg(least)
+    one = one.join(verdicts.filter("stays and class is not null").select("id", "class"), ["id", "class"], "left_semi")
+    chosen = classed.filter("class is null").select("doc").unionByName(one.select("doc"))
+    return of(several, "left_anti", rest).unionByName(chosen.select("doc.*"))

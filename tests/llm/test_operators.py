@@ -270,6 +270,44 @@ def test_near_duplicates_with_large_groups_and_common_passages(spark):
         assert made == Counter(brute.near_duplicates(rows, words=words))
 
 
+def test_one_row_of_each_component_stays(spark):
+    rnd = random.Random(5)
+    a, b, c, d = (" ".join("w%d" % rnd.randrange(10_000) for _ in range(100)) for _ in range(4))
+    rows = [
+        (3, a),
+        (7, a),  # a copy of 3
+        (7, b),  # unlike all others
+        (7, None),
+        (8, b + " end"),  # a near copy of (7, b)
+        (10, c),
+        (10, c),
+        (10, c.upper()),
+        (10, c + " end"),  # with the same id, but another set
+        (11, c),
+        (12, d),
+        (13, d),
+        (13, d),
+        (None, a),
+        (None, a),
+        (14, ""),
+        (14, ""),
+    ]
+    names = "doc_id long, text string, _id int, class int, doc int, id map<string,int>"
+    df = spark.createDataFrame([(*r, 1, i, 3, {"x": i}) for i, r in enumerate(rows)], names)
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    made = kept.collect()
+    plain = Counter((r.doc_id, r.text) for r in made)
+    tens = [r for r in made if r.doc_id == 10]
+    assert len(tens) == 1 and tens[0].text.lower() in (c, c + " end")
+    del plain[10, tens[0].text]
+    assert plain == Counter([(3, a), (7, b), (7, None), (12, d), (None, a), (None, a), (14, ""), (14, "")])
+    assert all(r.id == {"x": r["class"]} and rows[r["class"]] == (r.doc_id, r.text) for r in made)
+    again = near_dedup.keep_one(df.repartition(7, "class")).collect()
+    assert sorted(made, key=lambda r: r["class"]) == sorted(again, key=lambda r: r["class"])
+    assert near_dedup.keep_one(df.limit(0)).count() == 0
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for size in (1, 3, 40, 2000):
