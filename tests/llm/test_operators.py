@@ -476,6 +476,21 @@ def test_decontamination_of_odd_texts(spark):
     assert decontamination.decontaminate(table(spark, []), bench, ["doc_id"]).count() == 0
 
 
+def test_large_benchmarks_take_a_block_at_a_time(spark):
+    rnd = random.Random(9)
+    number = lambda n: " ".join(str(rnd.randrange(10**6)) for _ in range(n))
+    items = [(i, number(rnd.randrange(1, 40))) for i in range(40)] + [(40, number(500))]
+    docs = [(i, number(5) + " " + " ".join(t.split()[-15:]) + " " + number(5)) for i, t in items]
+    docs += [(99, " ".join(t for _, t in items[::3])), (100, items[40][1][100:]), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    parts = list(decontamination.blocks(bench, "item_id", "text", 10, 300))
+    assert max(sum(len(decontamination.words_of(t)) for _, t in part) for part in parts) <= 300 and len(parts) > 4
+    made = decontamination.decontaminate(table(spark, docs), bench, ["doc_id"], block_words=300).select(
+        "doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.concat_ws(",", "items"), 256), F.expr("n_hit > 0")
+    )
+    assert found(made) == Counter(brute.decontamination(docs, items))
+
+
 # op10
 
 
