@@ -13,12 +13,15 @@ standard deviations at least 97 of 100 neighbours are found.
 
 Queries meet the rows block by block: each block of rows with each block of queries, both of bounded size, and the
 best ``k`` of each are merged. Rows with a null id, or a vector that is null, zero, or holds a null or non-finite
-component, take no part, and neither do vectors of another length than the most frequent one. Of rows with
-the same id the one with the least vector counts. An empty table gives an empty result.
+component, take no part. Vectors are compared with those of their own length only, and each length has its own
+rotation and its own search. Of rows with the same id and length the one with the least vector counts; an id with
+vectors of several lengths has neighbours, ranked from 1, for each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +40,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     found = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), sound.alias("sound")).filter(
         F.col("id").isNotNull() & F.col("sound") & F.exists("vector", lambda x: x != 0.0)
     )
-    return found.groupBy("id").agg(F.min("vector").alias("vector"))
+    return found.groupBy("id", F.size("vector").alias("dims")).agg(F.min("vector").alias("vector"))
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -156,12 +159,29 @@ def nearest(
     spark = df.sparkSession
     ship(spark)
     vectors = materialize(usable(df, id_col, vector_col), "vectors")
+    lengths = vectors.groupBy("dims").count().orderBy("dims").collect()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    made = [
+        _nearest(vectors.filter(F.col("dims") == n.dims), n["count"], n.dims, is_query, k, sigmas, block_rows, query_rows, sample_rows)
+        for n in lengths
+    ]
+    return reduce(DataFrame.unionByName, made) if made else empty
+
+
+def _nearest(
+    vectors: DataFrame,
+    rows: int,
+    dims: int,
+    is_query: Column,
+    k: int,
+    sigmas: float,
+    block_rows: int,
+    query_rows: int,
+    sample_rows: int,
+) -> DataFrame:
+    """The neighbours among ``rows`` vectors of one length."""
+    spark = vectors.sparkSession
     schema = "query_id long, vec_id long, score double"
-    common = vectors.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, rows = common["dims"], common["count"]
-    vectors = vectors.filter(F.size("vector") == dims)
     queries = vectors.filter(is_query)
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").collect()
     rotation = spark.sparkContext.broadcast(learn_rotation(np.array([r.vector for r in sample])))

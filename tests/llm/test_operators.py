@@ -115,6 +115,16 @@ def test_neighbours_with_ties_nulls_and_repeats(spark):
     assert neighbours(vectors(spark, [(0, [1.0], 1, "", "")])) == {}
 
 
+def test_vectors_of_each_length_have_neighbours(spark):
+    rng = np.random.default_rng(8)
+    one = [(i, rng.normal(size=4).tolist()) for i in range(30)]
+    two = [(i, rng.normal(size=6).tolist()) for i in range(100, 112)] + [(0, rng.normal(size=6).tolist())]
+    made = mih.nearest(vectors(spark, [(*r, None, "", "") for r in one + two]), F.col("id") % 2 == 0, k=3, sigmas=6.0)
+    alone = [mih.nearest(vectors(spark, [(*r, None, "", "") for r in part]), F.col("id") % 2 == 0, k=3, sigmas=6.0) for part in (one, two)]
+    assert found(made) == found(alone[0]) + found(alone[1])
+    assert {r.query_id for r in made.collect()} == {i for i, _ in one + two if i % 2 == 0}
+
+
 def test_probing_finds_every_code_in_the_radius():
     rng = np.random.default_rng(3)
     data = rng.normal(size=(800, 32))
