@@ -287,7 +287,6 @@ def visit(pairs: DataFrame, dims: int, same: bool, k: int) -> DataFrame:
                     [pa.array(c, t) for c, t in zip(columns, kinds)], names=["anchor_id", "label", "goal", "other_id", "score"]
                 )
 
-    run.__module__ = __name__
     wanted = ["ids", "labels", "vectors", "goals", "n_goals", "t_ids", "t_labels", "t_vectors"]
     return map_arrow(pairs.select(*wanted), run, FOUND)
 

@@ -14,7 +14,7 @@ from html import unescape
 from typing import NamedTuple
 from zlib import crc32
 
-PATH_SLOTS = 2048
+PATH_SLOTS = 16384
 WORD_SLOTS = 4096
 
 _TAG = re.compile(

@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
-A page is read as its sequence of leaf blocks (``html_blocks``). Each block becomes a vector: the mean of embeddings of its hashed
-tag path (tags, and words of class, id and role), the mean of embeddings of its hashed words, and five numbers (length, share of
+A page is read as its sequence of leaf blocks (``html_blocks``). Each block becomes a vector: the pooled embeddings of its hashed
+tag path (tags, and words of class, id and role), those of its hashed words, and five numbers (length, share of
 links, of punctuation and of digits, and whether it is short). A bidirectional LSTM in numpy reads the whole sequence, so that every
 block is classified with all blocks before and after it in view, however many there are. The blocks that are labelled as
 main text are joined in page order by one space.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import fresh, held, per_row
+from spreadrank.llm.common import fresh, per_row
 from spreadrank.llm.html_blocks import PATH_SLOTS, WORD_SLOTS, Block, blocks_of, path_slot, word_slots
 
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 16, 8, 5, 16
@@ -59,10 +59,19 @@ class Encoded:
         self.numbers = np.array(numbers, np.float32).reshape(-1, NUMBERS)
 
 
-def means(table: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The mean row of ``table`` for each run of ``places``; no run is empty."""
-    starts = np.cumsum(sizes) - sizes
-    return np.add.reduceat(table[places], starts, axis=0) / sizes[:, None]
+def path_scale(sizes: np.ndarray) -> np.ndarray:
+    """A path's elements keep more weight than in a mean, since the innermost few decide."""
+    return (sizes**-0.5).astype(np.float32)[:, None]
+
+
+def word_scale(sizes: np.ndarray) -> np.ndarray:
+    """Words are averaged, together with some empty ones, so that a single word says little."""
+    return (1.0 / (sizes + 6.0)).astype(np.float32)[:, None]
+
+
+def pooled(table: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of the rows of ``table`` for each run of ``places``; no run is empty."""
+    return np.add.reduceat(table[places], np.cumsum(sizes) - sizes, axis=0)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -94,8 +103,9 @@ class Labeller:
             self.weights[f"{way}_bias"] = bias
 
     def inputs(self, page: Encoded) -> np.ndarray:
-        w = self.weights
-        return np.concatenate((means(w["path"], page.path, page.path_n), means(w["word"], page.word, page.word_n), page.numbers), axis=1)
+        path = pooled(self.weights["path"], page.path, page.path_n) * path_scale(page.path_n)
+        word = pooled(self.weights["word"], page.word, page.word_n) * word_scale(page.word_n)
+        return np.concatenate((path, word, page.numbers), axis=1)
 
     def run(self, x: np.ndarray, way: str, keep: bool):
         """States after each step of ``x`` (steps, pages, size); with ``keep`` also what the gradient needs."""
@@ -184,10 +194,10 @@ class Labeller:
         for i, page in enumerate(pages):
             own = dx[: page.n, i]
             for name, places, n, part in (
-                ("path", page.path, page.path_n, own[:, :PATH_DIM]),
-                ("word", page.word, page.word_n, own[:, PATH_DIM : PATH_DIM + WORD_DIM]),
+                ("path", page.path, page.path_n, own[:, :PATH_DIM] * path_scale(page.path_n)),
+                ("word", page.word, page.word_n, own[:, PATH_DIM : PATH_DIM + WORD_DIM] * word_scale(page.word_n)),
             ):
-                np.add.at(grads[name], places, np.repeat(part / n[:, None], n, axis=0))
+                np.add.at(grads[name], places, np.repeat(part, n, axis=0))
         return grads, float(loss)
 
 
@@ -300,7 +310,7 @@ class Layout:
             head = f"<h1>{MARK}{self.brief()}</h1>"
             made.append(f"<header>{head}</header>" if rng.random() < 0.15 else head)
         text, again = "", rng.choice((0.0, 0.0, 0.2))
-        for _ in range(rng.choice((0, 1, 1, 2, 3, 4, 6, 9, 14, 20, 40, rng.randint(50, 150)))):
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 4, 4, 5, 6, 7, 9, 11, 14, 17, 20, 30, rng.randint(50, 150)))):
             if not text or rng.random() >= again:
                 text = self.para(self.say() if rng.random() < 0.8 else self.brief())
             kind = rng.random()
@@ -321,9 +331,11 @@ class Layout:
             else:
                 made.append(f"<div>{MARK}{text}</div>")
         if self.named:
-            for _ in range(rng.choice((0, 0, 1, 2))):
-                name = rng.choice(("advert", "advert", "share", "side", "form", "notice", "nav"))
+            for _ in range(rng.choice((0, 1, 1, 2, 2, 3))):
+                name = rng.choice(("advert", "advert", "advert", "share", "side", "side", "form", "notice", "notice", "nav"))
                 made.insert(rng.randint(0, len(made)), self.region(name))
+            if rng.random() < 0.15:
+                made.append(self.region("comments"))
         inner = "".join(made)
         if rng.random() < 0.2:
             inner = f"<div>{inner}</div>"
@@ -408,7 +420,7 @@ def training_pages(pages: list[str], drawn: int, seed: int = 0) -> list[tuple[En
     return made
 
 
-def learn(df: DataFrame, html_col: str = "html", sample_pages: int = 400, sample_chars: int = 200_000, drawn: int = 800, rounds: int = 12) -> Labeller:
+def learn(df: DataFrame, html_col: str = "html", sample_pages: int = 400, sample_chars: int = 200_000, drawn: int = 1200, rounds: int = 20) -> Labeller:
     """A labeller from a sample of the pages in ``df``."""
     html = F.col(html_col).cast("string").alias("html")
     rows = df.select(html).filter((F.length("html") > 0) & (F.length("html") <= sample_chars))
@@ -421,13 +433,8 @@ def main_texts(df: DataFrame, model: Labeller, keep: list[str], html_col: str =
     weights = df.sparkSession.sparkContext.broadcast(model.weights)
 
     def make():
-        def load():
-            own = Labeller(0)
-            own.weights = weights.value
-            return own
-
-        load.__module__ = __name__
-        own = held(str(weights.id), load)
+        own = Labeller(0)
+        own.weights = weights.value
 
         def work(values: list) -> list[pa.Array]:
             pages = [blocks_of(v) if v else [] for v in values]
@@ -437,7 +444,6 @@ def main_texts(df: DataFrame, model: Labeller, keep: list[str], html_col: str =
 
         return work
 
-    make.__module__ = __name__
     kept = df.select(*keep)
     rows = df.withColumn(fresh(df, "html_text"), F.col(html_col).cast("string"))
     names = fresh(kept, "text"), fresh(kept, "n_chars")

@@ -6,7 +6,21 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from spreadrank.llm import byte_bpe, decontamination, hilbert_shards, language_id, mih, near_dedup, secret_scan, token_counts, url_filter, warc
+from spreadrank.llm import (
+    byte_bpe,
+    decontamination,
+    hard_negatives,
+    hilbert_shards,
+    language_id,
+    main_text,
+    mih,
+    near_dedup,
+    ranked_search,
+    secret_scan,
+    token_counts,
+    url_filter,
+    warc,
+)
 from spreadrank.llm.common import table
 
 
@@ -142,6 +156,73 @@ def op10_secret_scan(spark, sf_dir):
     )
 
 
+def op11_hard_negatives(spark, sf_dir):
+    changed = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, changed)
+
+
+OP11_SQL = """
+with sound as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.id as anchor_id, a.label = b.label as same, b.id as other_id,
+    cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) as bigint) as score
+  from sound a join sound b on a.id % 50 = 0 and a.id <> b.id
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select anchor_id, positive_id,
+  cast(row_number() over (partition by anchor_id, positive_id order by score desc, other_id) as integer) as rank,
+  other_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), held as (select r, doc_id, terms, len(terms) as n from docs where len(terms) > 0),
+totals as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from held),
+tfs as (select r, term, count(*) as tf from (select r, unnest(terms) as term from held) group by all),
+dfs as (select term, count(*) as df from tfs group by term),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), weighed as (
+  select item_id, term, cast(floor(1000 * ln((2.0::double * big_n + 2) / (2.0::double * df + 1))) as bigint) as w
+  from asked join dfs using (term), totals
+), scored as (
+  select item_id, r, any_value(doc_id) as doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l)))) as bigint) as score
+  from weighed join tfs using (term) join held using (r), totals
+  group by item_id, r
+), ranked as (
+  select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+  from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 50
+"""
+
+
+def op13_main_text(spark, sf_dir):
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_multi_index_hashing": op2_multi_index_hashing,
@@ -153,6 +234,13 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_main_text": op13_main_text,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": OP6_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
+}

@@ -227,7 +227,6 @@ def search_batch(index: DataFrame, rows: list, n_docs: int, n_terms: int, k: int
                 search.chunk(part.slice(at, CHUNK))
         yield search.results()
 
-    run.__module__ = __name__
     return map_arrow(index, run, "item_id long, doc_id long, score long")
 
 

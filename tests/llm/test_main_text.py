@@ -109,7 +109,7 @@ def test_a_page_with_everything(spark, model):
     <header class="site-header"><div class="logo">The Paper</div></header>
     <nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></nav>
     <div class="cookie-notice"><p>{prose}</p><button>Accept</button></div>
-    <div class="wrapper"><div class="post-content"><h1>The flood &amp; after</h1><p>{prose}</p>
+    <div class="wrapper"><div class="content"><h1>The flood &amp; after</h1><p>{prose}</p>
     <div class="ad"><p>{prose}</p></div><p>Short.</p><h2>Later</h2><p>{prose}</p></div>
     <aside class="sidebar"><h3>Related</h3><p>{prose}</p><ul><li><a href=x>More</a></li></ul></aside>
     <section id="comments"><h3>Comments</h3><div class="comment"><p>{prose}</p></div><div class="comment"><p>{prose}</p></div>

@@ -184,11 +184,12 @@ def test_ranked_search_of_little(spark):
 
 
 def test_sketches_bound_the_scores_and_prune(spark):
-    docs = [(i, t) for i, t in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    text_of = dict(docs)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     index = ranked_search.build_index(texts(spark, docs, "doc_id")).toArrow().combine_chunks().to_batches()[0]
     held = [(r["id"], dict(zip(r["terms"], r["counts"])), r["n_terms"]) for r in index.to_pylist()]
-    assert all(counts == Counter(terms(t)) for (_, counts, _), t in zip(held, dict(docs).values()))
+    assert all(counts == Counter(terms(text_of[i])) for i, counts, _ in held)
     n_terms, df = sum(h[2] for h in held), Counter(t for h in held for t in h[1])
 
     class Row:

@@ -41,7 +41,7 @@ def query(spark, name, *columns):
 def test_all_are_registered():
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
 
 
 def test_token_counts(spark, docs):
