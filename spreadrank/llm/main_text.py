@@ -424,8 +424,10 @@ def learn(df: DataFrame, html_col: str = "html", sample_pages: int = 400, sample
     """A labeller from a sample of the pages in ``df``."""
     html = F.col(html_col).cast("string").alias("html")
     rows = df.select(html).filter((F.length("html") > 0) & (F.length("html") <= sample_chars))
-    sample = rows.orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect()
-    return fit(training_pages([r.html for r in sample], drawn), rounds)
+    # The hashes are chosen first, so that no more pages than the sample's reach the driver.
+    chosen = rows.select(F.xxhash64("html").alias("hash")).distinct().orderBy("hash").limit(sample_pages).collect()
+    sample = rows.filter(F.xxhash64("html").isin([r["hash"] for r in chosen])).distinct().collect()
+    return fit(training_pages(sorted(r.html for r in sample), drawn), rounds)
 
 
 def main_texts(df: DataFrame, model: Labeller, keep: list[str], html_col: str = "html") -> DataFrame:

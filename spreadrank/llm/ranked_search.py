@@ -1,6 +1,6 @@
 """Ranked lexical search with hashed max-sketches.
 
-The index has a row per document: its terms and how often each occurs, and a sketch, an array of bytes onto which the
+The index has a row per document: its terms and how often each occurs, packed, and a sketch, an array of bytes onto which the
 terms are hashed and that keeps the largest count at each place. A term's impact grows with its count, so
 the impact of the count at a query term's place is at least the term's own, and the sum over the query is an upper
 bound of the document's score. A sketch is as wide as the power of two next to ``FILL`` places a distinct term, so
@@ -64,24 +64,21 @@ def fold(places: np.ndarray, counts: np.ndarray) -> bytes:
 
 def _index_rows(batches):
     for part in sliced(batches):
-        ids, terms, counts, sketches, sizes = part.column(0), [], [], [], []
+        terms, counts, sketches, sizes = [], [], [], []
         for text in part.column(1).cast(pa.binary()).to_pylist():
             found = Counter(terms_of(text or b""))
             numbers = np.fromiter(found.values(), np.int64, len(found))
-            terms.append(list(found))
-            counts.append(numbers)
+            terms.append(b" ".join(found))
+            counts.append(numbers.tobytes())
             sizes.append(int(numbers.sum()))
             places = np.fromiter(map(crc32, found), np.int64, len(found))
             sketches.append(fold(places, numbers) if found else b"")
-        offsets = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
-        flat = pa.array([t for row in terms for t in row], pa.binary()).cast(pa.string())
-        flat_counts = pa.array(np.concatenate([np.empty(0, np.int64), *counts]))
         yield pa.RecordBatch.from_arrays(
             [
-                ids,
+                part.column(0),
                 pa.array(sizes, pa.int64()),
-                pa.ListArray.from_arrays(offsets, flat),
-                pa.ListArray.from_arrays(offsets, flat_counts),
+                pa.array(terms, pa.binary()).cast(pa.string()),
+                pa.array(counts, pa.binary()),
                 pa.array(sketches, pa.binary()),
             ],
             names=["id", "n_terms", "terms", "counts", "sketch"],
@@ -89,9 +86,10 @@ def _index_rows(batches):
 
 
 def terms_and_sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n_terms, terms, counts, sketch`` of each row, also of those without terms."""
+    """``id, n_terms, terms, counts, sketch`` of each row, also of those without terms: the distinct terms with a blank between
+    them, and their counts as packed 64-bit numbers."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, _index_rows, "id long, n_terms long, terms array<string>, counts array<bigint>, sketch binary")
+    return map_arrow(rows, _index_rows, "id long, n_terms long, terms string, counts binary, sketch binary")
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,8 +99,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def weighted_terms(index: DataFrame, items: DataFrame, n_docs: int, id_col: str, text_col: str) -> DataFrame:
     """``item_id, term, weight``: the distinct terms of each item that occur in the index."""
-    asked = terms_and_sketches(items, id_col, text_col).select(F.col("id").alias("item_id"), F.explode("terms").alias("term"))
-    df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    term = F.explode(F.split("terms", " ")).alias("term")
+    asked = terms_and_sketches(items, id_col, text_col).filter("n_terms > 0").select(F.col("id").alias("item_id"), term)
+    df = index.select(term).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(F.lit(1000.0) * F.log(F.lit(2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0)))
     return asked.distinct().join(df, "term").select("item_id", "term", weight.cast("long").alias("weight"))
 
@@ -174,36 +173,36 @@ class Search:
             most[rows[r], c] = np.where(found == ANY_COUNT, 1_000_000, impact(found, m[rows[r]]))
         return most @ self.weights
 
-    def impacts(self, part: pa.RecordBatch, m: np.ndarray) -> np.ndarray:
-        """The impact of each term of the batch in each document."""
-        terms = part.column(2)
-        doc = np.repeat(np.arange(part.num_rows), np.diff(terms.offsets.to_numpy()))
+    def impacts(self, part: pa.RecordBatch, rows: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The impact of each term of the batch in each of the documents ``rows``."""
+        held = part.take(pa.array(rows))
+        terms = pc.split_pattern(held.column(2), " ")
+        doc = np.repeat(np.arange(len(rows)), np.diff(terms.offsets.to_numpy()))
         code = pc.index_in(terms.flatten(), self.value_set)
         known = code.is_valid().to_numpy(zero_copy_only=False)
-        made = np.zeros((part.num_rows, len(self.batch.terms)), np.int64)
-        counts = part.column(3).flatten().to_numpy()[known]
-        made[doc[known], code.drop_null().to_numpy()] = impact(counts, m[doc[known]])
+        counts = np.frombuffer(b"".join(held.column(3).to_pylist()), np.int64)[known]
+        made = np.zeros((len(rows), len(self.batch.terms)), np.int64)
+        made[doc[known], code.drop_null().to_numpy()] = impact(counts, m[rows][doc[known]])
         return made
 
     def chunk(self, part: pa.RecordBatch) -> None:
-        ids = part.column(0)
-        nulls = ids.is_null().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
         m = 50 + (50 * part.column(1).to_numpy() * self.n_docs) // self.n_terms
         # Whole numbers below 2^53 are exact; beyond, the margin covers the rounding.
         bounds = self.bounds(part.column(4).to_pylist(), m) * (1 + 1e-9)
-        floors = np.array([b.floor for b in self.best])
-        open_items = np.flatnonzero((bounds >= floors).any(axis=0))
-        if not len(open_items):
+        in_play = bounds >= np.array([b.floor for b in self.best])
+        rows = np.flatnonzero(in_play.any(axis=1))
+        if not len(rows):
             return
-        impacts = self.impacts(part, m)
-        for i in open_items:
+        ids, bounds, impacts = part.column(0).take(pa.array(rows)), bounds[rows], self.impacts(part, rows, m)
+        nulls = ids.is_null().to_numpy(zero_copy_only=False)
+        ids = ids.fill_null(0).to_numpy()
+        for i in np.flatnonzero(in_play.any(axis=0)):
             best, (at, weight) = self.best[i], self.batch.asked[i]
             order = np.argsort(-bounds[:, i], kind="stable")
             ranked, step, start = bounds[order, i], 32, 0
             while start < len(order) and ranked[start] >= best.floor:
-                rows = order[start : start + step][ranked[start : start + step] >= best.floor]
-                best.add(impacts[np.ix_(rows, at)] @ weight, ids[rows], nulls[rows])
+                own = order[start : start + step][ranked[start : start + step] >= best.floor]
+                best.add(impacts[np.ix_(own, at)] @ weight, ids[own], nulls[own])
                 start, step = start + step, step * 2
 
     def results(self) -> pa.RecordBatch:

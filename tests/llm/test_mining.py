@@ -188,7 +188,8 @@ def test_sketches_bound_the_scores_and_prune(spark):
     text_of = dict(docs)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     index = ranked_search.build_index(texts(spark, docs, "doc_id")).toArrow().combine_chunks().to_batches()[0]
-    held = [(r["id"], dict(zip(r["terms"], r["counts"])), r["n_terms"]) for r in index.to_pylist()]
+    rows = index.to_pylist()
+    held = [(r["id"], dict(zip(r["terms"].split(), np.frombuffer(r["counts"], np.int64))), r["n_terms"]) for r in rows]
     assert all(counts == Counter(terms(text_of[i])) for i, counts, _ in held)
     n_terms, df = sum(h[2] for h in held), Counter(t for h in held for t in h[1])
 
@@ -201,7 +202,7 @@ def test_sketches_bound_the_scores_and_prune(spark):
     search = ranked_search.Search(ranked_search.Batch(rows), len(held), n_terms, 50)
     m = 50 + (50 * np.array([h[2] for h in held]) * len(held)) // n_terms
     bounds = search.bounds(index.column(4).to_pylist(), m)
-    impacts = search.impacts(index, m)
+    impacts = search.impacts(index, np.arange(len(held)), m)
     exact = np.array([impacts[:, at] @ weight for at, weight in search.batch.asked]).T
     assert (bounds >= exact).all()
     kth = -np.sort(-exact, axis=0)[49]
