@@ -7,7 +7,8 @@ from pyspark.sql import SparkSession
 
 
 def new_session() -> SparkSession:
-    """A small local session; the shared folder is a fresh one."""
+    """A small local session; the shared folder is a fresh one. Local workers share the cores, so each does its algebra in one thread."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -310,9 +310,9 @@ points as (select id, vector[1] x, vector[2] y from vectors order by {uniform("m
     "plot_bars": f"""with {SCORES}
 select node_id, round(influence_score, 6) influence_score, printf('%.3f', influence_score) label
 from influence where "rank" <= 10""",
-    "skipgram_in_tables": f"with {GRAPH} select id, 64 length, true finite, true positive from nodes",
-    "node2vec_vectors": f"with {GRAPH} select id, 64 length, true finite, true positive from nodes",
-    "kmeans_clusters": f"with {VECTORS} select id, true is_label, true is_nearest from vectors",
+    "skipgram_in_tables": f"with {GRAPH} select id, 64 length, true finite, true moved from nodes",
+    "node2vec_vectors": f"with {GRAPH} select id, 64 length, true finite, true moved from nodes",
+    "kmeans_clusters": f"with {VECTORS} select id, true is_label, true is_nearest, true is_cheapest from vectors",
     "pca_points": f"""with {VECTORS}
 select count(*) n, 0.0::double mean_x, 0.0::double mean_y, 0.0::double covariance, true variance_falls
 from vectors""",

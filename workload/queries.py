@@ -10,12 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadrank.operators import community, embedding, graph, pagerank, scoring, subgraph, walks
-from spreadrank.functions.columns import squared_distance
+from spreadrank.operators import community, embedding, graph, kmeans, pagerank, scoring, subgraph, walks
+from spreadrank.functions.columns import l2_norm, squared_distance
 from spreadrank.operators import second_order
 from spreadrank.operators.cleaning import clean_interactions
 from spreadrank.operators.skipgram import train_skipgram
-from spreadrank.params import Params
+from spreadrank.params import DEFAULTS, Params
 from spreadrank.plans import communities, influence, preprocess, run
 from spreadrank.sources.interactions import CSV, stage_interactions
 from spreadrank.storage import materialize, new_folder
@@ -220,10 +220,11 @@ def q_successors(spark, sf):
 
 
 def sound(vectors: DataFrame) -> DataFrame:
-    """What must hold of every trained vector; its numbers are learned and in no SQL."""
+    """What must hold of every trained vector; its numbers are learned and in no SQL. Vectors that training has not moved are
+    within 0.5 / 8 of zero."""
     finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-    positive = F.exists("vector", lambda x: x != 0)
-    return vectors.select("id", F.size("vector").alias("length"), finite.alias("finite"), positive.alias("positive"))
+    moved = l2_norm(F.col("vector")) > 0.1
+    return vectors.select("id", F.size("vector").alias("length"), finite.alias("finite"), moved.alias("moved"))
 
 
 def q_skipgram(spark, sf):
@@ -236,16 +237,24 @@ def q_node2vec(spark, sf):
 
 
 def q_kmeans(spark, sf):
-    """Whether each label is one of the three and that of the nearest mean of a label's vectors."""
-    vectors = adapter.stand_in_vectors(spark, sf)
+    """Whether each label is one of the three and that of the nearest mean of a label's vectors, and whether these
+    labels cost as little as the cheapest of the ten runs."""
+    vectors = materialize(adapter.stand_in_vectors(spark, sf), "vectors")
     clusters = materialize(community.cluster_nodes(vectors), "clusters")
     means = community.centroids(vectors, clusters)
     far = squared_distance(F.col("vector"), F.col("centroid"))
     apart = vectors.crossJoin(F.broadcast(means.limit(3))).select("id", F.col("cluster").alias("mean"), far.alias("far"))
     nearest = apart.groupBy("id").agg(F.min("far").alias("least"), F.collect_list(F.struct("mean", "far")).alias("each"))
     own = F.filter("each", lambda m: m["mean"] == F.col("cluster"))[0]["far"]
-    return clusters.join(nearest, "id").select(
-        "id", F.col("cluster").between(0, 2).alias("is_label"), (own <= F.col("least") + 1e-3).alias("is_nearest")
+    rows = materialize(clusters.join(nearest, "id").withColumn("own", own), "kmeans")
+    runs = kmeans.fit_all(vectors, DEFAULTS.n_clusters, DEFAULTS.seed, DEFAULTS.kmeans_restarts)
+    least = min((r.cost for r in runs), default=0.0)
+    cost = rows.agg(F.coalesce(F.sum("own"), F.lit(0.0))).first()[0]
+    return rows.select(
+        "id",
+        F.col("cluster").between(0, 2).alias("is_label"),
+        (F.col("own") <= F.col("least") + 1e-3).alias("is_nearest"),
+        F.lit(len({r.cost for r in runs}) > 0 and cost <= least * (1 + 1e-4) + 1e-6).alias("is_cheapest"),
     )
 
 
