@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from spreadrank.storage import publish
+
 # The columns of the log.
 SCHEMA = T.StructType(
     [
@@ -50,14 +52,16 @@ def input_uri(host: str | None, folder: str, local_path: str, name: str = "inter
 def stage_interactions(
     spark: SparkSession, source: str, target: str, fmt: str = "csv"
 ) -> DataFrame:
-    """Replace ``target`` with a copy of ``source`` and return the copy; a failed write raises.
+    """Replace ``target`` with a copy of ``source`` and return the copy; a failed write raises and leaves the old one.
 
     CSV fields are copied as text, so a value that does not fit its column, such as an unparseable
     timestamp, is in the copy as well.
     """
     if fmt == "csv":
         text = T.StructType([T.StructField(f.name, T.StringType()) for f in SCHEMA])
-        _read(spark, source, fmt, text).write.mode("overwrite").options(**CSV).csv(target)
+        copy = _read(spark, source, fmt, text)
+        publish(spark, target, lambda to: copy.write.options(**CSV).csv(to))
     else:
-        _read(spark, source, fmt, SCHEMA).write.mode("overwrite").parquet(target)
+        copy = _read(spark, source, fmt, SCHEMA)
+        publish(spark, target, lambda to: copy.write.parquet(to))
     return load_interactions(spark, target, fmt)

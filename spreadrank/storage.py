@@ -6,11 +6,12 @@ re-read of a file and not a recomputation of all earlier rounds.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,71 @@ def checkpoint_grouped(df: DataFrame, parts: int, keys: list[str], groups: list[
     return grouped.sortWithinPartitions(*keys).checkpoint().persist()
 
 
+def _files(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _files(spark, path)
+    return files.exists(where)
+
+
+def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Replace the table at ``path`` by what ``write`` writes to the folder it is given.
+
+    The new table is written whole beside the old one, which stays readable until then; two renames put it in its place. A
+    write that fails leaves the old table. If the process ends between the renames, the old table is put
+    back by the next ``publish`` to the path.
+    """
+    path = path.rstrip("/")
+    parent, _, name = path.rpartition("/")
+    target, files = _files(spark, path)
+    old, _ = _files(spark, f"{parent}/_{name}.old")
+    if files.exists(old):
+        if files.exists(target):
+            files.delete(old, True)
+        elif not files.rename(old, target):
+            raise OSError(f"could not put {old} back")
+    fresh = f"{parent}/_{name}.{uuid.uuid4().hex}"
+    made, _ = _files(spark, fresh)
+    try:
+        write(fresh)
+        if files.exists(target) and not files.rename(target, old):
+            raise OSError(f"could not move {path} away")
+        if not files.rename(made, target):
+            files.rename(old, target)
+            raise OSError(f"could not move {fresh} to {path}")
+    finally:
+        files.delete(made, True)
+    files.delete(old, True)
+
+
+class Ledger:
+    """Finished stages of a run in a folder of their own, keyed by the input's files and the settings. A later run with the same
+    key takes up what is there; a stage counts as finished once its table is whole."""
+
+    def __init__(self, spark: SparkSession, source: str, settings: object):
+        self.spark = spark
+        where, files = _files(spark, source)
+        listed = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.globStatus(where) or [])
+        inside = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(where))
+        key = hashlib.sha256(repr((listed, inside, settings)).encode()).hexdigest()[:32]
+        self.folder = f"{work_dir(spark)}/spreadrank/ledger-{key}"
+
+    def stage(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            made = make()
+            made.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def close(self) -> None:
+        where, files = _files(self.spark, self.folder)
+        files.delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """A folder of its own for the intermediate tables written inside, deleted at the end with all of them.
@@ -102,5 +168,5 @@ def scratch(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _scratch.remove(folder)
-        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = _files(spark, folder)
+        files.delete(where, True)

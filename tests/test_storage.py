@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 from spreadrank import storage
+from spreadrank.storage import publish
 
 
 class Context:
@@ -64,3 +65,24 @@ def test_a_run_leaves_nothing_behind(spark):
         assert any(name.startswith("a-") for name in os.listdir(folder.removeprefix("file://")))
     assert not os.path.exists(folder.removeprefix("file://"))
     assert "run-" not in storage.new_folder(spark, "b").rsplit("/", 2)[1]
+
+
+def test_a_write_that_stops_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "table")
+    publish(spark, path, lambda to: spark.range(5).write.parquet(to))
+
+    def half(to):
+        spark.range(9).write.parquet(to)
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        publish(spark, path, half)
+    assert spark.read.parquet(path).count() == 5
+    # Stopped between the two renames: the old table is put back first.
+    (tmp_path / "table").rename(tmp_path / "_table.old")
+    with pytest.raises(RuntimeError):
+        publish(spark, path, half)
+    assert spark.read.parquet(path).count() == 5
+    publish(spark, path, lambda to: spark.range(7).write.parquet(to))
+    assert spark.read.parquet(path).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]

@@ -221,6 +221,10 @@ ORACLES: dict[str, str] = {
     "stage_counts": f"""with {EDGES}
 select 'loaded' stage, count(*) "rows" from raw
 union all select 'cleaned', count(*) from clean
+union all select 'edges', count(*) from edge_table where edge_weight >= 0.1""",
+    "observed_counts": f"""with {EDGES}
+select 'loaded' stage, count(*) "rows" from raw
+union all select 'cleaned', count(*) from clean
 union all select 'edges', count(*) from edge_table where edge_weight >= 0.1""",
     "graph_nodes": f"with {GRAPH} select id from nodes",
     "graph_stats": f"""with {GRAPH}
@@ -272,6 +276,11 @@ order by list_cosine_similarity(vector, w) desc, id limit 5""",
     "most_similar_unknown": f"""with {VECTORS}, wanted as (select vector w from vectors where id = 'nobody')
 select id, list_cosine_similarity(vector, w) similarity
 from vectors, wanted order by 2 desc, 1 limit 5""",
+    "most_similar_many": f"""with {VECTORS}, near as (
+  select a.id node, b.id, round(list_cosine_similarity(a.vector, b.vector), 12) s from vectors a join vectors b
+    on a.id <> b.id and substr(a.id, 2)::bigint % 25 = 0),
+ranked as (select *, row_number() over (partition by node order by s desc, id)::int "rank" from near)
+select node, "rank", id, round(s, 6) similarity from ranked where "rank" <= 5""",
     "score_inputs": f"""with {SCORES}
 select node_id, round(emb_norm, 6) emb_norm, round(pagerank, 6) pagerank,
   round(weighted_outdegree, 9) weighted_outdegree from inputs""",
@@ -307,6 +316,8 @@ select src, dst, round(weight / max(weight) over (), 6) weight_share from ego_ed
     "plot_points": f"""with {SCORES},
 points as (select id, vector[1] x, vector[2] y from vectors order by {uniform("md5('42|' || id)")}, id limit 100)
 {drawn('points', '500 + 30', 'round(x, 6) x, round(y, 6) y, ')}""",
+    "report_round_trip": f"""with {SCORES}
+select "rank", node_id, round(influence_score, 6) influence_score from influence""",
     "plot_bars": f"""with {SCORES}
 select node_id, round(influence_score, 6) influence_score, printf('%.3f', influence_score) label
 from influence where "rank" <= 10""",

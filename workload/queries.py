@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadrank.operators import community, embedding, graph, kmeans, pagerank, scoring, subgraph, walks
+from spreadrank.operators import community, embedding, graph, kmeans, pagerank, scoring, similarity, subgraph, walks
 from spreadrank.functions.columns import l2_norm, squared_distance
 from spreadrank.operators import second_order
 from spreadrank.operators.cleaning import clean_interactions
@@ -18,6 +18,7 @@ from spreadrank.operators.skipgram import train_skipgram
 from spreadrank.params import DEFAULTS, Params
 from spreadrank.plans import communities, influence, preprocess, run
 from spreadrank.sources.interactions import CSV, stage_interactions
+from spreadrank.sources.reports import save_report
 from spreadrank.storage import materialize, new_folder
 from workload import adapter
 
@@ -70,6 +71,20 @@ def q_stage_counts(spark, sf):
     return preprocess.stage_counts(adapter.interactions(spark, sf))
 
 
+def q_observed_counts(spark, sf):
+    """The stage counts as they are seen while the edges are written."""
+    return preprocess.observed_edges(adapter.interactions(spark, sf))[1]
+
+
+def q_report_round_trip(spark, sf):
+    """The ranked report, published twice and read back."""
+    path = new_folder(spark, "report")
+    save_report(spark.range(3).withColumnRenamed("id", "rank"), path)
+    save_report(influence_of(spark, sf, graph_of(spark, sf)), path)
+    back = spark.read.options(**CSV).csv(path)
+    return back.select(F.col("rank").cast("int").alias("rank"), "node_id", F.round(F.col("influence_score").cast("double"), 6).alias("influence_score"))
+
+
 def q_graph_nodes(spark, sf):
     return graph_of(spark, sf).nodes
 
@@ -150,6 +165,12 @@ def q_most_similar_unknown(spark, sf):
     return embedding.most_similar(adapter.stand_in_vectors(spark, sf), "nobody")
 
 
+def q_most_similar_many(spark, sf):
+    vectors = adapter.stand_in_vectors(spark, sf)
+    wanted = vectors.filter(F.substring("id", 2, 20).cast("long") % 25 == 0).select("id")
+    return rounded(similarity.most_similar_many(vectors, wanted), "similarity")
+
+
 def q_score_inputs(spark, sf):
     return rounded(rounded(scores_of(spark, sf, graph_of(spark, sf)), *MEASURES), "weighted_outdegree", digits=9)
 
@@ -303,6 +324,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edges": q_edges,
     "edges_min_weight": q_edges_min_weight,
     "stage_counts": q_stage_counts,
+    "observed_counts": q_observed_counts,
+    "report_round_trip": q_report_round_trip,
     "graph_nodes": q_graph_nodes,
     "graph_stats": q_graph_stats,
     "top5_outdegree": q_top5,
@@ -320,6 +343,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "embedding_norm": q_embedding_norm,
     "most_similar": q_most_similar,
     "most_similar_unknown": q_most_similar_unknown,
+    "most_similar_many": q_most_similar_many,
     "score_inputs": q_score_inputs,
     "score_scaled": q_score_scaled,
     "influence": q_influence,
