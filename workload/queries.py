@@ -82,7 +82,7 @@ def q_report_round_trip(spark, sf):
     save_report(spark.range(3).withColumnRenamed("id", "rank"), path)
     save_report(influence_of(spark, sf, graph_of(spark, sf)), path)
     back = spark.read.options(**CSV).csv(path)
-    return back.select(F.col("rank").cast("int").alias("rank"), "node_id", F.round(F.col("influence_score").cast("double"), 6).alias("influence_score"))
+    return back.select(F.col("rank").cast("long").alias("rank"), "node_id", F.round(F.col("influence_score").cast("double"), 6).alias("influence_score"))
 
 
 def q_graph_nodes(spark, sf):
