@@ -24,6 +24,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PREFIX_HEX = 8
 
 
+# Between host and path in what is digested; neither of a url's can hold it.
+BORDER = "#"
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     mark = F.instr(url, "://")
     rest = F.when(mark > 0, F.substring(url, mark + 3, F.length(url)))
@@ -41,12 +45,13 @@ def rule_digests(rules: DataFrame) -> DataFrame:
         F.max_by("verdict", F.struct(F.col("verdict") == "block", "verdict")).alias("verdict")
     )
     text = F.concat("host", "path")
+    bordered = F.concat("host", F.lit(BORDER), "path")
     entry = F.struct(
         F.length(text).alias("length"),
         F.length("host").alias("host_length"),
         text.alias("rule"),
         "verdict",
-        F.sha2(text, 256).alias("digest"),
+        F.sha2(bordered, 256).alias("digest"),
     )
     keyed = one.select(entry.alias("entry")).withColumn("prefix", F.substring("entry.digest", 1, PREFIX_HEX))
     return keyed.groupBy("prefix").agg(F.collect_list("entry").alias("entries"))
@@ -78,7 +83,7 @@ def filter_urls(
     expressions = [
         F.when(
             (F.col("host") != "") & (F.size(parts) >= s.labels) & (F.length("path") >= s.chars),
-            F.concat(F.substring_index("host", ".", -s.labels), F.substring("path", 1, s.chars)),
+            F.concat(F.substring_index("host", ".", -s.labels), F.lit(BORDER), F.substring("path", 1, s.chars)),
         )
         for s in sorted(shapes)
     ]
