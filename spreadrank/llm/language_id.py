@@ -83,8 +83,9 @@ def learn(df: DataFrame, text_col: str, lang_col: str, size: int = 300, max_lang
     counted = map_arrow(labelled, run, "lang string, gram long, n long")
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = summed.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < size)
-    profiles = ranked.select("lang", "gram", "place").limit(size * max_langs + 1)
+    # Tasks keep their own first rows only, if the number itself is what is filtered.
+    ranked = summed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    profiles = ranked.select("lang", "gram", (F.col("place") - 1).alias("place")).limit(size * max_langs + 1)
     return profiles
 
 
