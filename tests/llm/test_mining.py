@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spreadrank.llm import hard_negatives, ranked_search
+from spreadrank.llm import hard_negatives, language_id, ranked_search, url_filter
 from spreadrank.llm.hard_negatives import Goal, Tile, best_first, str_order
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -207,3 +207,16 @@ def test_sketches_bound_the_scores_and_prune(spark):
     assert (bounds >= exact).all()
     kth = -np.sort(-exact, axis=0)[49]
     assert (bounds < kth).mean() > 0.1
+
+
+def test_a_rule_keeps_its_border_between_host_and_path(spark):
+    pages = spark.createDataFrame([(1, "http://net/x"), (2, "http://a.ne/t/x")], "page_id long, url string")
+    rules = [("ne", "t/", "block"), ("ne", "/t/", "block"), ("com", "/", "allow")]
+    made = url_filter.filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert {r.page_id: (r.rule, r.verdict) for r in made.collect()} == {1: (None, "allow"), 2: ("ne/t/", "block")}
+
+
+def test_profiles_are_cut_before_the_shuffle(spark, capsys):
+    docs = spark.createDataFrame([("some text", "en"), ("ein Text", "de")], "text string, lang string")
+    language_id.learn(docs, "text", "lang").explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
