@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
 
-TABLES = ["events", "embeddings", "pages"]
+TABLES = ["events", "embeddings", "pages", "documents", "benchmark"]
 
 
 def duck(sf_dir: str):
