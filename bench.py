@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from spreadrank.operators import community, embedding, graph, pagerank, second_order, walks  # noqa: E402
+from spreadrank.operators import community, embedding, graph, pagerank, projection, second_order, walks  # noqa: E402
 from spreadrank.params import DEFAULTS  # noqa: E402
 from spreadrank.plans import influence, preprocess  # noqa: E402
 from spreadrank.sources.random_graph import random_graph  # noqa: E402
@@ -48,7 +48,7 @@ def main() -> None:
     vectors = timed("train_64", lambda: written(embedding.train_embeddings(paths)))
     scored = timed("influence", lambda: influence.run_influence_scoring(vectors, ranks, degree))
     clusters = timed("kmeans", lambda: written(community.cluster_nodes(vectors)))
-    timed("pca", lambda: written(community.project(vectors)))
+    timed("pca", lambda: written(projection.project(vectors)))
     timed("bridges", lambda: written(community.find_bridges(g, clusters, scored)))
 
     # The timing procedure of the baseline: random graph, 5 walks of 20 nodes, 32 dimensions.

@@ -213,6 +213,39 @@ def drawn(ids: str, size: str, more: str = "") -> str:
 from {ids} n left join influence i on i.node_id = n.id left join clusters c on c.id = n.id"""
 
 
+COVARIANCE = f"""{VECTORS},
+numbers as (select id, generate_subscripts(vector, 1) - 1 i, unnest(vector) v from vectors),
+covariances as (
+  select a.i, b.i j, covar_samp(a.v, b.v) c from numbers a join numbers b using (id) group by a.i, b.i)"""
+
+
+def axis_ctes(name: str, matrix: str) -> str:
+    """``name``: the direction of greatest variance of ``matrix``. Its powers, squared again and again and divided by
+    their trace, come to be the outer product of that direction with itself."""
+    return f"""
+{name}_power as (
+  select 0 step, i, j, c from {matrix}
+  union all
+  select step + 1, i, j, c / sum(case when i = j then c else 0.0 end) over () from (
+    select a.step, a.i, b.j, sum(a.c * b.c) c from {name}_power a join {name}_power b on a.j = b.i
+    where a.step < 40 group by a.step, a.i, b.j)),
+{name}_last as (select i, j, c from {name}_power where step = 40),
+{name} as (
+  select i, c / sqrt(sum(c * c) over ()) loading from {name}_last
+  where j = (select arg_max(i, c) from {name}_last where i = j))"""
+
+
+PROJECTION = f"""with recursive {COVARIANCE},
+{axis_ctes("first_axis", "covariances")},
+spread as (select sum(a.loading * c * b.loading) most from covariances join first_axis a using (i) join first_axis b on b.i = j),
+rest as (
+  select c.i, c.j, c - most * a.loading * b.loading c
+  from covariances c join first_axis a on a.i = c.i join first_axis b on b.i = c.j, spread),
+{axis_ctes("second_axis", "rest")},
+means as (select i, avg(v) mean from numbers group by i)
+select id, round(sum((v - mean) * a.loading), 6) x, round(sum((v - mean) * b.loading), 6) y
+from numbers join means using (i) join first_axis a using (i) join second_axis b using (i) group by id"""
+
 ORACLES: dict[str, str] = {
     "clean_interactions": f"with {CLEAN} select * from clean",
     "weighted_interactions": f"with {CLEAN} select * from weighted",
@@ -327,6 +360,9 @@ from influence where "rank" <= 10""",
     "pca_points": f"""with {VECTORS}
 select count(*) n, 0.0::double mean_x, 0.0::double mean_y, 0.0::double covariance, true variance_falls
 from vectors""",
+    "pca_covariance": f"""with {COVARIANCE}
+select i::int i, j::int j, round(c, 9) covariance from covariances where i <= j""",
+    "pca_projection": PROJECTION,
     "clustering_bridges": f"""with {GRAPH}, {VECTORS}
 select distinct src node_id, true score_is_product, true count_in_range from e join vectors on id = src""",
     "full_run": f"""with {GRAPH},

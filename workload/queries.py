@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spreadrank.operators import community, embedding, graph, kmeans, pagerank, scoring, similarity, subgraph, walks
+from spreadrank.operators import community, embedding, graph, kmeans, pagerank, projection, scoring, similarity, subgraph, walks
 from spreadrank.functions.columns import l2_norm, squared_distance
 from spreadrank.operators import second_order
 from spreadrank.operators.cleaning import clean_interactions
@@ -281,7 +281,7 @@ def q_kmeans(spark, sf):
 
 def q_pca(spark, sf):
     """What must hold of principal components: centred, uncorrelated, the first with more variance."""
-    points = community.project(adapter.stand_in_vectors(spark, sf))
+    points = projection.project(adapter.stand_in_vectors(spark, sf))
 
     def zero(value):
         return F.abs(F.round(value, 6))
@@ -295,6 +295,20 @@ def q_pca(spark, sf):
     )
 
 
+def q_pca_covariance(spark, sf):
+    """Covariance of each pair of components, from which the axes are made."""
+    known = projection.moments(adapter.stand_in_vectors(spark, sf))
+    if known is None:
+        return spark.createDataFrame([], "i int, j int, covariance double")
+    table = [(i, j, float(v)) for i, line in enumerate(known.covariance) for j, v in enumerate(line) if i <= j]
+    return rounded(spark.createDataFrame(table, "i int, j int, covariance double"), "covariance", digits=9)
+
+
+def q_pca_projection(spark, sf):
+    """Every vector's place in the plane."""
+    return rounded(projection.project(adapter.stand_in_vectors(spark, sf)), "x", "y")
+
+
 def q_clustering_bridges(spark, sf):
     """Every node with successors and a cluster; clusters are learned, so only what must hold of a row."""
     g = graph_of(spark, sf)
@@ -360,6 +374,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "node2vec_vectors": q_node2vec,
     "kmeans_clusters": q_kmeans,
     "pca_points": q_pca,
+    "pca_covariance": q_pca_covariance,
+    "pca_projection": q_pca_projection,
     "clustering_bridges": q_clustering_bridges,
     "full_run": q_full_run,
 }
