@@ -1,14 +1,20 @@
 """Shards that are runs of a Hilbert curve over several metadata columns, with DataFrame functions only.
 
-Each column is cut into 2^bits cells at its quantiles; text columns count by their first bytes. The cells'
+Each column is cut into 2^bits cells at its quantiles, in the order of its whole values. The cells'
 place on the Hilbert curve is a fold over their bits with a table of the curve's states. Rows are sorted by that place
 and cut into runs, so neighbours in all columns share a shard and the least and greatest value of each column
 in a file let a reader skip it.
 
+Numbers are cut at approximate percentiles. Of any other type the distinct values are counted and sorted, and a value's
+cell is the share of rows before it, so values of 2^-bits of the rows or more never share a cell with the next, however alike
+they begin. What reaches the driver is one value per cell.
+
 Runs are cut by number of rows: shard sizes differ by one at most. Positions come from a range-partitioned sort and an
-offset per partition, never from one task over all rows; ties on the curve are ordered by the rest of the row, so
-a hot cell is spread over partitions. A null counts as the least value. Repeated rows take neighbouring
-places. An empty table gives an empty result.
+offset per partition, never from one task over all rows; ties on the curve are ordered by the columns ``ties``, then by the
+rows' place in the files, so neither a hot cell nor repeated rows end up in one partition. A null counts as the least value; empty
+texts come next. Very long texts may be rows' values, and of a dimension too, where one per cell is held as a whole.
+Repeated rows are each kept, in neighbouring places. An empty table gives an empty result. All columns of the input are kept,
+whatever their names; where one is called like a new column, the new one gets an underscore more.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spreadrank.llm.common import fresh
 from spreadrank.storage import materialize
 
 
@@ -67,29 +74,58 @@ def hilbert_index(cells: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*map(F.lit, range(bits - 1, -1, -1))), start, step)["place"]
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column's values; of texts the first seven bytes."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.hex(F.substring(F.col(name).cast("binary"), 1, 7))
-        return F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
-    return F.col(name).cast("double")
+def packed(df: DataFrame) -> DataFrame:
+    """All columns as column ``row``, where their names meet no others."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def _field(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def number_cell(rows: DataFrame, dims: list[str], bits: int) -> list[Column]:
+    """The cell of each numeric dimension: how many of its 2^bits - 1 percentiles the value exceeds."""
+    if not dims:
+        return []
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    values = [_field(name).cast("double") for name in dims]
+    cuts = rows.agg(*[F.percentile_approx(v, shares).alias(f"c{i}") for i, v in enumerate(values)]).first()
+    cells = []
+    for value, limits in zip(values, cuts):
+        held = F.array(*map(F.lit, limits)) if limits else F.array().cast("array<double>")
+        cells.append(F.size(F.filter(held, _below(value))))
+    return cells
 
 
 def _below(value: Column):
     return lambda cut: cut < F.coalesce(value, cut)
 
 
+def value_cell(rows: DataFrame, name: str, bits: int) -> Column:
+    """The cell of a dimension of any type that can be sorted: the share of all rows that come before its value, in
+    2^bits-ths."""
+    counts = materialize(rows.groupBy(_field(name).alias("value")).agg(F.count(F.lit(1)).alias("n")), "values")
+    ordered = materialize(counts.orderBy("value").withColumn("part", F.spark_partition_id()), "ordered")
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition of the sort.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("part").agg(F.sum("n").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all")
+    )
+    running = ordered.withColumn("here", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts), "part")
+    celled = running.select("value", F.expr(f"(earlier + here) * {1 << bits} div all").cast("int").alias("cell"))
+    starts = celled.filter("value is not null").groupBy("cell").agg(F.min("value").alias("value")).orderBy("cell").collect()
+    reached = [F.when(_field(name) >= F.lit(start.value), F.lit(start.cell)).otherwise(F.lit(0)) for start in starts]
+    return F.greatest(F.lit(0), F.lit(0), *reached)
+
+
 def place_on_curve(df: DataFrame, dims: list[str], bits: int = 5) -> DataFrame:
-    """Add ``curve``. The cuts, 2^bits - 1 for each column, are quantiles of all rows."""
-    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = {f"_number{i}": as_number(df, name) for i, name in enumerate(dims)}
-    numbered = df.withColumns(numbers)
-    cuts = numbered.agg(*[F.percentile_approx(n, shares).alias(n) for n in numbers]).first()
-    cells = []
-    for n in numbers:
-        limits = F.array(*map(F.lit, cuts[n])) if cuts[n] else F.array().cast("array<double>")
-        cells.append(F.size(F.filter(limits, _below(F.col(n)))))
-    return numbered.withColumn("curve", hilbert_index(cells, bits)).drop(*numbers)
+    """``row, curve``: each row, packed, and its place. The cuts are quantiles of all rows."""
+    rows = packed(df)
+    numeric = [name for name in dims if isinstance(df.schema[name].dataType, T.NumericType)]
+    cells = dict(zip(numeric, number_cell(rows, numeric, bits)))
+    cells |= {name: value_cell(rows, name, bits) for name in dims if name not in cells}
+    return rows.withColumn("curve", hilbert_index([cells[name] for name in dims], bits))
 
 
 def shard_rows(df: DataFrame, dims: list[str], ties: list[str], shards: int, bits: int = 5) -> DataFrame:
@@ -98,30 +134,37 @@ def shard_rows(df: DataFrame, dims: list[str], ties: list[str], shards: int, bit
     placed = materialize(place_on_curve(df, dims, bits), "placed")
     position = F.monotonically_increasing_id()
     ordered = materialize(
-        placed.orderBy("curve", *ties).select(
-            "*",
-            F.shiftright(position, 33).cast("int").alias("_part"),
-            position.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"),
+        placed.withColumn("place", position)
+        .orderBy("curve", *[_field(name) for name in ties], "place")
+        .select(
+            "row",
+            "curve",
+            F.shiftright(position, 33).cast("int").alias("part"),
+            position.bitwiseAND(F.lit((1 << 33) - 1)).alias("here"),
         ),
         "ordered",
     )
-    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(F.lit(0))
     # One row for each partition of the sort.
     offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(everything).alias("_all")
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"), F.sum("n").over(everything).alias("all")
     )
-    ranked = ordered.join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + F.col("_row"))
-    shard = F.expr(f"_rank * {shards} div _all")
-    first = F.expr(f"(({shards} - 1) + shard * _all) div {shards}")
-    return (
-        ranked.withColumn("shard", shard.cast("int"))
-        .withColumn("slot", F.col("_rank") - first)
-        .select(*df.columns, "curve", "shard", "slot")
+    ranked = ordered.join(F.broadcast(offsets), "part").withColumn("rank", F.col("earlier") + F.col("here"))
+    cut = ranked.withColumn("shard", F.expr(f"rank * {shards} div all"))
+    first = F.expr(f"(({shards} - 1) + shard * all) div {shards}")
+    return cut.select(
+        *[_field(c).alias(c) for c in df.columns],
+        F.col("curve").alias(fresh(df, "curve")),
+        F.col("shard").cast("int").alias(fresh(df, "shard")),
+        (F.col("rank") - first).alias(fresh(df, "slot")),
     )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, its rows in curve order, so that file statistics prune on every dimension."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """One folder per shard, its rows in curve order, so that file statistics prune on every dimension. ``sharded`` is what
+    ``shard_rows`` returns: its last two columns are the shard and the slot."""
+    shard, slot = (f"`{c}`" for c in sharded.columns[-2:])
+    dealt = sharded.repartitionByRange(F.col(shard), F.col(slot)).sortWithinPartitions(F.col(shard), F.col(slot))
+    dealt.write.partitionBy(sharded.columns[-2]).parquet(path)

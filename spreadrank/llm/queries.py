@@ -112,7 +112,7 @@ def op7_hilbert_shards(spark, sf_dir):
     )
     made = hilbert_shards.shard_rows(docs, ["source", "lang", "n_chars"], ["text_crc32", "doc_id", "size"], 16)
     return made.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
     )
 
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -437,6 +438,50 @@ def test_shards_of_odd_rows(spark, tmp_path):
     assert hilbert_shards.shard_rows(df.limit(0), ["source", "size"], ["doc_id"], 4).count() == 0
 
 
+def test_sources_with_a_common_prefix_prune(spark, tmp_path):
+    rows = [(i, f"common_crawl_{i % 4}", i // 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    made = hilbert_shards.shard_rows(df, ["source", "size"], ["doc_id"], 16)
+    hilbert_shards.write_shards(made, str(tmp_path / "out"))
+    spans = []
+    for file in (tmp_path / "out").rglob("*.parquet"):
+        data = pq.ParquetFile(file).metadata
+        names = [data.row_group(0).column(i).path_in_schema for i in range(data.num_columns)]
+        stats = {n: data.row_group(0).column(i).statistics for i, n in enumerate(names)}
+        spans.append((stats["source"].min, stats["source"].max, stats["size"].min, stats["size"].max))
+    assert len(spans) >= 16
+    for source in range(4):
+        assert sum(a <= f"common_crawl_{source}" <= b for a, b, _, _ in spans) <= len(spans) // 2
+    for size in (0, 30, 60, 99):
+        assert sum(a <= size <= b for _, _, a, b in spans) <= len(spans) // 2
+
+
+def test_value_cells_are_shares_of_rows_before(spark):
+    rnd = random.Random(4)
+    common = "a text whose first characters are those of all others "
+    values = [rnd.choice([None, "", "é", "long" * 5000, "hot", "hot", "hot", common + str(rnd.randrange(40))]) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    rows = hilbert_shards.packed(df).repartition(5)
+    made = rows.select("row.value", hilbert_shards.value_cell(rows, "value", 5).alias("cell")).collect()
+    order = sorted(values, key=lambda v: (v is not None, (v or "").encode()))
+    first = {}
+    for at, value in enumerate(order):
+        first.setdefault(value, at)
+    assert Counter(map(tuple, made)) == Counter((v, first[v] * 32 // 500) for v in values)
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["curve", "shard", "Slot", "row", "_row", "_part", "part", "rank", "_number0", "a.b", "all"]
+    df = spark.createDataFrame([tuple(range(i, i + len(names))) for i in range(20)] * 2, [f"c{i}" for i in range(len(names))])
+    df = df.toDF(*names)
+    made = hilbert_shards.shard_rows(df, ["curve", "row"], ["shard", "a.b"], 3)
+    assert made.columns == [*names, "curve_", "shard_", "slot_"]
+    assert sorted(tuple(r)[: len(names)] for r in made.collect()) == sorted(map(tuple, df.collect()))
+    dated = spark.sql("select date'2024-01-01' + cast(id as int) d, id % 2 = 0 b, id from range(64)")
+    days = hilbert_shards.shard_rows(dated, ["d", "b"], ["id"], 4).groupBy("shard").agg(F.max("d") - F.min("d")).collect()
+    assert len(days) == 4
+
+
 # op8
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from spreadrank.llm import language_id
+from spreadrank.llm import hilbert_shards, language_id
 from spreadrank.llm.common import table
 from tests.check_oracles import differences
 from tests.llm import brute
@@ -100,6 +102,26 @@ def test_hilbert_shards(spark, docs):
     for shard, n in sizes.items():
         assert sorted(r.slot for r in made if r.shard == shard) == list(range(n))
     assert {(r.law, r.grown_shard) for r in made} == {("rows", None)}
+    order = sorted(made, key=lambda r: (r.shard, r.slot))
+    assert [r.curve for r in order] == sorted(r.curve for r in made)
+    # The place of each row, from the shares of rows before its source and language and its percentile of length.
+    table = pq.read_table(f"{SF_DIR}/documents.parquet", columns=["doc_id", "source", "lang", "n_chars"]).to_pylist()
+    cells = []
+    for name in ("source", "lang"):
+        ranked = sorted((r[name] for r in table), key=lambda v: (v is not None, (v or "").encode()))
+        cells.append({v: ranked.index(v) * 32 // len(ranked) for v in set(ranked)})
+    lengths = sorted(r["n_chars"] for r in table if r["n_chars"] is not None)
+    cuts = [lengths[max(0, math.ceil(i * len(lengths) / 32) - 1)] for i in range(1, 32)]
+    places, states = hilbert_shards.curve_tables(3)
+    expected = {}
+    for r in table:
+        at = cells[0][r["source"]], cells[1][r["lang"]], sum(r["n_chars"] is not None and c < r["n_chars"] for c in cuts)
+        place = state = 0
+        for level in range(4, -1, -1):
+            bits = sum((cell >> level & 1) << i for i, cell in enumerate(at))
+            place, state = place * 8 + places[state * 8 + bits], states[state * 8 + bits]
+        expected[r["doc_id"]] = place
+    assert {r.doc_id: r.curve for r in made} == expected
 
 
 def test_language_id(spark):
