@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -580,3 +582,60 @@ def test_models_tell_keys_from_words(spark):
     assert redacted[0].redacted == f"{prose} [SECRET] {prose}" and redacted[0].n_secrets == 1
     assert secret_scan.scan_secrets(table(spark, [])).count() == 0
     assert secret_scan.redact(table(spark, []), ["doc_id"]).count() == 0
+
+
+def test_planted_keys_are_found_and_ordinary_runs_left_alone(spark):
+    """Recall by length of keys that no pattern fits, and no false hits, in the texts of the smallest tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(17)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = {(n, i): "".join(rnd.choice(letters) for _ in range(n)) for n in (16, 20, 24, 32, 40) for i in range(100)}
+    rows = [(10**6 + n * 1000 + i, f"see {key} there") for (n, i), key in planted.items()]
+    ordinary = [
+        "123456789012345678", "2023-11-14-2023-12-24", "-" * 28, "=" * 80, "4111-1111-1111-1111", "4929381332664295",
+        "getElementsByClassName", "max_shuffle_partitions_per_task", "en/2024/05/17/news/index", "SPARK_EXECUTOR_MEMORY_OVERHEAD",
+        "internationalisation", "application/x-www-form-urlencoded", "20240101000000000", "+" * 16, "a" * 40, "0" * 16, "1/2/3/4/5/6/7/8/9/10",
+    ]
+    rows += [(2 * 10**6 + i, f"see {value} there") for i, value in enumerate(ordinary)]
+    made = secret_scan.scan_secrets(docs.unionByName(table(spark, rows).select("doc_id", "text")))
+    found = {r.doc_id: [tuple(s) for s in r.spans if s.kind == "markov"] for r in made.collect()}
+    for n, least in ((16, 0.95), (20, 0.97), (24, 0.98), (32, 0.99), (40, 0.99)):
+        right = [found[10**6 + n * 1000 + i] == [(4, 4 + n, "markov")] for i in range(100)]
+        assert sum(right) >= least * 100, (n, sum(right))
+    assert [v for i, v in enumerate(ordinary) if found[2 * 10**6 + i]] == []
+    assert all(not spans for doc, spans in found.items() if doc < 10**6)
+
+
+def test_limit_of_the_models(spark):
+    """The models against a plain count of pairs, and any layout gives the same words and counts."""
+    prose = ["the committee of the national assembly met in the evening", "prices and wages rose by one tenth in 2023-10-11"]
+    df = table(spark, [(i, prose[i % 2] + f" item{i % 7}") for i in range(40)])
+    models = [
+        secret_scan.learn(secret_scan._scan(d, "doc_id", "text", 16), 16, None) for d in (df.repartition(6), df.coalesce(1))
+    ]
+    assert (models[0].table == models[1].table).all() and models[0].limit == models[1].limit >= secret_scan.LEAST_LIMIT
+    assert models[0].recall > 0.95
+    words = sorted({w for t in prose for w in t.split() if w.isalpha() and 3 <= len(w) <= 12} | {"item"})
+    words.sort(key=lambda w: (zlib.crc32(w.encode()), [-ord(c) for c in w]))
+    half = secret_scan.SAMPLES // 2
+
+    def chances(strings):
+        pairs = Counter(
+            (a if a in secret_scan.ALPHABET else "", b if b in secret_scan.ALPHABET else "")
+            for s in strings for a, b in zip(["", *s], [*s, ""])
+        )
+        del pairs["", ""]
+        seconds, firsts = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            firsts[a] += n
+            seconds[b] += n
+        total = sum(seconds.values()) + secret_scan.WIDTH
+        return lambda a, b: (pairs[a, b] + 20 * (seconds[b] + 1) / total) / (firsts[a] + 20)
+
+    corpus = chances([prose[i % 2] + f" item{i % 7}" for i in range(40)])
+    named = chances(secret_scan.identifier_samples(words, 2 * half, 16)[:half])
+    keys = chances(secret_scan.key_samples(2 * half)[:half])
+    for value in ("abcDEF123456-_/=+9", "theNationalAssembly"):
+        pairs = list(zip(["", *value], [*value, ""]))
+        mean = sum(math.log(keys(a, b) / (corpus(a, b) / 2 + named(a, b) / 2)) for a, b in pairs) / len(pairs)
+        assert models[0].ratio(value) == pytest.approx(mean)
