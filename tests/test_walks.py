@@ -98,3 +98,19 @@ def test_vocabulary_counts_every_node(five):
     assert [(r.node, r.frequency) for r in ranked] == sorted(counts.items(), key=lambda c: (-c[1], c[0]))
     assert set(counts) == {"a", "b", "c", "d", "e"}
     assert sum(counts.values()) == walks.count()
+
+
+@pytest.mark.parametrize("q", [0.25, 0.5, 2.0, 4.0])
+def test_only_undecided_draws_are_looked_up(spark, q):
+    """A draw that is not looked up has the same outcome whether it leads to a successor of the previous node or not."""
+    bound = max(1.0, 1.0 / q)
+    draws = spark.range(1001).selectExpr(
+        "id / 1000D as v", "named_struct('dst', if(id % 7 = 0, 'p', 'x')) as found", "if(id % 11 = 0, null, 'p') as prev", "id % 13 = 0 as returns"
+    )
+    rows = draws.selectExpr("*", f"{w.undecided(q)} as asked").collect()
+    for r in rows:
+        fixed = r.prev is None or r.returns or r.found.dst == r.prev
+        differ = not fixed and (r.v * bound < 1.0) != (r.v * bound < 1.0 / q)
+        assert r.asked >= differ and not (fixed and r.asked)
+    asked = sum(r.asked for r in rows)
+    assert asked <= (1 - min(q, 1 / q)) * 1001 + 2
