@@ -6,12 +6,14 @@ can be told from the last tokens of shorter ones, and the merges compile into a
 its state is each place where the unfinished end of the input may begin a longer token, with the tokens
 chosen up to there. What all these choices share is emitted, so
 a token leaves after a lookahead of at most the longest token. States are made when first reached, and
-forgotten together when there are ``MAX_STATES`` of them.
+forgotten together when a piece begins and there are more than ``MAX_STATES`` of them; a piece adds a state a byte at most.
 
 Decoding looks up the bytes of each id and feeds them, chunk by chunk, to an incremental UTF-8 decoder,
 which keeps the bytes of an unfinished character between two chunks.
 
-Null texts are encoded as empty. Each row gives a row, whatever its id; columns not asked for are not read.
+Null texts are encoded as empty, and empty texts have no ids. Very long texts are encoded whole, one at a time. Each row gives a
+row, whatever its id, and repeated rows give repeated results; columns not asked for are not read. An empty table gives an
+empty result. A result column that is called like one of ``keep`` gets an underscore more.
 """
 
 from __future__ import annotations

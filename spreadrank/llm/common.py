@@ -68,11 +68,13 @@ def per_row(
     """The columns ``keep`` and the new ``columns`` for each row of ``df``, made from column ``value``.
 
     ``make`` runs once in a task and returns a function from a batch's values to one Arrow array per
-    new column. Rows are neither dropped nor matched up again by id, so null and repeated ids do no harm.
+    new column. Rows are neither dropped nor matched up again by id, so null and repeated ids do no harm. A new
+    column that is called like one of ``keep`` gets an underscore more.
     """
     source = list(dict.fromkeys([*keep, value]))
     at, width = source.index(value), len(keep)
-    schema = T.StructType([*(df.schema[name] for name in keep), *T.StructType.fromDDL(columns)])
+    new = [T.StructField(fresh(df.select(*keep), field.name), field.dataType) for field in T.StructType.fromDDL(columns)]
+    schema = T.StructType([*(df.schema[name] for name in keep), *new])
     names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

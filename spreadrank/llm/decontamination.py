@@ -10,7 +10,9 @@ one word of a window. Each block has its own pass over the documents, which writ
 so driver and workers hold one block at a time, however large the benchmark is.
 
 Null texts, documents' and items', have no words. Items that occur several times count once by id; an item
-without an id makes words hit but is not listed. Each document row gives a row, whatever its id.
+without an id makes words hit but is not listed. Each document row gives a row, whatever its id, so repeated rows
+give repeated results; empty texts have no words, and very long ones are scanned whole, one at a time. Without documents the
+result is empty, without items nothing is hit. A result column that is called like one of ``keep`` gets an underscore more.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spreadrank.llm.common import lists, map_arrow, per_row, sliced
+from spreadrank.llm.common import fresh, lists, map_arrow, per_row, sliced
 from spreadrank.storage import materialize
 
 # Code points 0x30-0x39 and 0x61-0x7A and all from 0x80 on are parts of words, once A-Z are lower-cased.
@@ -151,8 +153,9 @@ def decontaminate(
         rows = materialize(marked.select("doc", seen), "marked")
         sent.destroy()
         part, following = following, next(parts, None)
+    new, kept = ("n_words", "n_hit", "items", "spans"), df.select(*keep)
     return _last(rows, ["doc"], "seen", context.broadcast(part), window).select(
-        *[F.col("doc").getField(c).alias(c) for c in keep], "n_words", "n_hit", "items", "spans"
+        *[F.col("doc").getField(c).alias(c) for c in keep], *[F.col(c).alias(fresh(kept, c)) for c in new]
     )
 
 

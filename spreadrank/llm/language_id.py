@@ -12,7 +12,9 @@ table, by counts added up over the cluster; a profile has ``size`` n-grams and t
 ``max_langs`` of them, which bounds what is collected and broadcast.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned. Rows
-with a null or empty language or text are not learned from. Each row gives a row, whatever its id.
+with a null or empty language or text are not learned from. Each row gives a row, whatever its id, and repeated rows
+count as often as they occur. Very long texts count as a whole; their n-grams are held at once, some 40 bytes a character. An
+empty table gives an empty result. A result column that is called like one of ``keep`` gets an underscore more.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Queries meet the rows block by block: each block of rows with each block of quer
 best ``k`` of each are merged. Rows with a null id, or a vector that is null, zero, or holds a null or non-finite
 component, take no part. Vectors are compared with those of their own length only, and each length has its own
 rotation and its own search. Of rows with the same id and length the one with the least vector counts; an id with
-vectors of several lengths has neighbours, ranked from 1, for each. An empty table gives an empty result.
+vectors of several lengths has neighbours, ranked from 1, for each. Ties in score go to the smaller id. Columns other than id
+and vector are not read, so their names do no harm. An empty table gives an empty result.
 """
 
 from __future__ import annotations

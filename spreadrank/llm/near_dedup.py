@@ -22,7 +22,8 @@ bins, which is more than five standard deviations below what the threshold gives
 
 Null texts and texts without words are empty sets, linked with nothing. Rows without an id take no part and
 stay. Rows with the same id and text are copies of each other; the same id with other texts joins the
-components of all its texts only if those are linked.
+components of all its texts only if those are linked. Very long texts count with all their shingles. Columns other than id and text
+are not read for the links, and ``keep_one`` passes them on whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ held out, and the limit is what all but ``MAX_FALSE`` of the held-out identifier
 
 Null texts count as empty, and empty texts have no spans. Very long texts are scanned whole, one at a time, and a long run is judged
 as one candidate. Each row gives a row, whatever its id, also rows that are repeated; other columns are not read, and ``redact``
-passes on those that are asked for (none of them may be called ``redacted`` or ``n_secrets``). Of spans that start together the one listed
+passes on those that are asked for (a result column that is called like one of them gets an underscore more). Of spans that start together the one listed
 first in ``KINDS`` comes first. An empty table gives an empty result.
 """
 

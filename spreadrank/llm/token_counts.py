@@ -10,7 +10,8 @@ itself, from a broadcast of at most ``head_size`` short strings. The others, a s
 occurrences, are joined by a shuffle. Which way a pre-token goes changes no result.
 
 Null texts count as empty. Rows are counted one by one, whatever their ids: repeated rows give repeated
-results, null ids stay null. Columns other than id and text are not read.
+results, null ids stay null. Columns other than id and text are not read, so their names do no harm. Very long texts are cut
+into pre-tokens whole, one at a time. An empty table gives an empty result.
 """
 
 from __future__ import annotations

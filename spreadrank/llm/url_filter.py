@@ -10,7 +10,9 @@ broadcast, more are joined by a shuffle in which hot expressions are split off (
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to
 ``?``, ``#`` or the end. A null url, or one without ``://``, has an empty host and path, and no rule fits. Rules
 without a host or verdict are left out; of two rules with the same host and path ``block`` counts; of two
-equally long that fit, the one with the longer host. Each row gives a row, whatever its id.
+equally long that fit, the one with the longer host. Each row gives a row, whatever its id, and repeated rows give repeated
+results; very long urls are expanded up to the longest rule only. Columns other than id and url are not read, so their names do
+no harm. An empty table gives an empty result, and without rules every url has the default verdict.
 """
 
 from __future__ import annotations

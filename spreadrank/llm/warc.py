@@ -14,7 +14,9 @@ Reading streams every listed file and yields the chunk rows again, each with the
 far; the last chunk's are the record's. Revisits have one empty chunk; their length is the one in their HTTP header.
 
 Null payloads are empty. Rows without an id are response records with an empty id. Rows repeated with the same id
-and payload are each written, all as the response or all as revisits of the same one.
+and payload are each written, all as the response or all as revisits of the same one. Very long payloads are read by chunk, but
+the writing pass holds one whole in the JVM. Columns other than id, address and payload are not read, so their names do no
+harm. An empty table gives no archive, and no archive gives no rows.
 """
 
 from __future__ import annotations

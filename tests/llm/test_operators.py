@@ -639,3 +639,21 @@ def test_limit_of_the_models(spark):
         pairs = list(zip(["", *value], [*value, ""]))
         mean = sum(math.log(keys(a, b) / (corpus(a, b) / 2 + named(a, b) / 2)) for a, b in pairs) / len(pairs)
         assert models[0].ratio(value) == pytest.approx(mean)
+
+
+def test_result_columns_called_like_kept_ones(spark):
+    names = ["lang_pred", "score", "n_words", "n_hit", "items", "spans", "redacted", "n_secrets", "n_tokens", "IDS", "decoded", "valid_utf8"]
+    df = table(spark, [(1, "one two"), (1, None)]).select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    items = spark.createDataFrame([("a", "one two"), ("b", "three four")], "item_id string, text string")
+    profiles = language_id.learn(df.withColumn("lang", F.lit("en")), "text", "lang")
+    results = [
+        language_id.identify(df, profiles, names),
+        decontamination.decontaminate(df, items, names, window=2),
+        decontamination.decontaminate(df, items, names, window=2, block_words=2),
+        secret_scan.redact(df, names),
+        byte_bpe.encode_and_decode(df, RANKS, PATTERN, names),
+    ]
+    for made in results:
+        assert made.columns[: len(names)] == names and all(c.endswith("_") for c in made.columns[len(names) :])
+        assert len({c.lower() for c in made.columns}) == len(made.columns)
+        assert [tuple(r)[: len(names)] for r in made.collect()] == [tuple(range(len(names)))] * 2
