@@ -5,7 +5,8 @@ For a walker that came from ``prev`` to ``cur``, a successor of ``cur`` weighs `
 successor) would pair each node's in-edges with its out-edges. The sum of the weights needs less:
 the total out-weight of ``cur``, the back edge, and the successors shared by ``prev`` and ``cur``.
 The shared ones are found from whichever end of the edge has fewer successors, which is the usual
-way to enumerate triangles.
+way to enumerate triangles. Where both ends have up to ``PACKED`` successors, these travel as one array to the row
+of the other end and are intersected there; of the other edges each successor is a row of its own.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from spreadrank.operators.skew import lookup, salted_join
 from spreadrank.params import DEFAULTS, SkewLimits
 from spreadrank.storage import materialize
 
+# The most successors of a node that travel as one array, some 10 KB.
+PACKED = 256
+# Rows with such arrays are split off from fewer rows of a key on, and fewer of them are broadcast.
+MOST_WIDE, MOST_WIDE_KEYS = 1_000_000, 2_000
+
 
 def second_order_totals(
     graph: Graph,
@@ -37,7 +43,7 @@ def second_order_totals(
     n = graph.n_edges
     pairs = graph.edges.select(F.col("src").alias("prev"), F.col("dst").alias("cur"))
     if asked is not None:
-        pairs = pairs.join(asked.select("prev", "cur"), ["prev", "cur"], "left_semi")
+        pairs = materialize(pairs.join(asked.select("prev", "cur"), ["prev", "cur"], "left_semi"), "pairs")
     states = lookup(
         pairs,
         out.select(F.col("src").alias("prev"), F.col("out_degree").alias("prev_degree")),
@@ -46,7 +52,7 @@ def second_order_totals(
     states = lookup(
         states,
         out.select(F.col("src").alias("cur"), "out_weight", F.col("out_degree").alias("cur_degree")),
-        ["cur"], n, limits=limits,
+        ["cur"], n, limits=limits, counted=pairs,
     )
     reverse = graph.edges.select(
         F.col("src").alias("cur"), F.col("dst").alias("prev"), F.col("weight").alias("back")
@@ -56,14 +62,24 @@ def second_order_totals(
         "states",
     )
 
-    shared = _shared_weight(graph, states, limits)
+    packable = (F.col("prev_degree") <= PACKED) & (F.col("cur_degree") <= PACKED)
+    # One row per successor of the smaller end. Many of them can ask for the same edge of a hub.
+    least = F.when(~packable, F.least("prev_degree", "cur_degree"))
+    n_packable, rows = states.agg(F.count(F.when(packable, 1)), F.coalesce(F.sum(least), F.lit(0))).first()
+    found = []
+    if n_packable or not rows:
+        found.append(_with_packed(graph, states.filter(packable), n_packable, limits))
+    if rows:
+        listed = states.filter(~packable)
+        shared = _shared_weight(graph, listed, rows, limits)
+        found.append(listed.join(shared, ["prev", "cur"], "left").withColumn("shared", F.coalesce("shared", F.lit(0.0))))
+    columns = ["prev", "cur", "out_weight", "back", "shared"]
+    weighed = found[0].select(*columns)
+    for more in found[1:]:
+        weighed = weighed.unionByName(more.select(*columns))
     back = F.col("back") / p
     far = (F.col("out_weight") - F.col("back") - F.col("shared")) / q
-    weighed = (
-        states.join(shared, ["prev", "cur"], "left")
-        .withColumn("shared", F.coalesce("shared", F.lit(0.0)))
-        .withColumn("total", back + F.col("shared") + far)
-    )
+    weighed = weighed.withColumn("total", back + F.col("shared") + far)
     return weighed.select(
         "prev",
         "cur",
@@ -74,16 +90,55 @@ def second_order_totals(
     )
 
 
-def _shared_weight(graph: Graph, states: DataFrame, limits: SkewLimits) -> DataFrame:
-    """``(prev, cur, shared)``: weight from ``cur`` to the successors of both ends."""
+def _ends(states: DataFrame, *more: str) -> DataFrame:
+    """The states with the end of fewer successors as ``near``, the other one as ``far``."""
     from_prev = F.col("prev_degree") <= F.col("cur_degree")
-    ends = states.select(
+    return states.select(
         "prev",
         "cur",
         F.when(from_prev, F.col("prev")).otherwise(F.col("cur")).alias("near"),
         F.when(from_prev, F.col("cur")).otherwise(F.col("prev")).alias("far"),
         from_prev.alias("from_prev"),
+        *more,
+    )
+
+
+def _with_packed(graph: Graph, states: DataFrame, rows: int, limits: SkewLimits) -> DataFrame:
+    """The ``rows`` states with ``shared``, the weight from ``cur`` to the successors of both ends, which have up to ``PACKED``."""
+    few = out_totals(graph.edges).filter(F.col("out_degree") <= PACKED).select("src")
+    packed = lookup(graph.edges, few, ["src"], graph.n_edges, limits=limits).filter(F.col("dst").isNotNull())
+    # Written, since both ends read it.
+    packed = materialize(
+        packed.groupBy("src")
+        .agg(F.collect_list(F.struct("dst", "weight")).alias("to"))
+        .select("src", F.col("to.dst").alias("ids"), F.col("to.weight").alias("weights")),
+        "successors",
     )
+    wide = SkewLimits(min(limits.min_rows, MOST_WIDE), min(limits.max_hot, MOST_WIDE_KEYS))
+    ends = _ends(states, "out_weight", "back")
+    # What is on the way to the other end: the weights only if they are those of ``cur``.
+    weights = F.when(~F.col("from_prev"), F.col("weights")).alias("near_weights")
+    near = packed.select(F.col("src").alias("near"), F.col("ids").alias("near_ids"), "weights")
+    met = lookup(ends, near, ["near"], rows, limits=wide)
+    met = met.select(*ends.columns, "near_ids", weights)
+    far = packed.select(F.col("src").alias("far"), F.col("ids").alias("far_ids"), F.col("weights").alias("far_weights"))
+    met = lookup(met, far, ["far"], rows, limits=wide, counted=ends)
+
+    ids = F.when(F.col("from_prev"), F.col("far_ids")).otherwise(F.col("near_ids"))
+    weights = F.when(F.col("from_prev"), F.col("far_weights")).otherwise(F.col("near_weights"))
+    both = F.array_intersect("near_ids", "far_ids")
+    # Added up as decimals, see ``billionths``; this width leaves room for a sum of ``PACKED`` of them.
+    shared = F.aggregate(
+        F.col("both"),
+        F.lit(0).cast("decimal(37,9)"),
+        lambda sum_, x: (sum_ + billionths(F.element_at(weights, F.array_position(ids, x).cast("int")))).cast("decimal(37,9)"),
+    )
+    return met.withColumn("both", both).withColumn("shared", shared.cast("double"))
+
+
+def _shared_weight(graph: Graph, states: DataFrame, rows: int, limits: SkewLimits) -> DataFrame:
+    """``(prev, cur, shared)``: weight from ``cur`` to the successors of both ends, of which the smaller have ``rows`` together."""
+    ends = _ends(states)
     near = graph.edges.select(
         F.col("src").alias("near"), "dst", F.col("weight").alias("near_weight")
     )
@@ -91,9 +146,6 @@ def _shared_weight(graph: Graph, states: DataFrame, limits: SkewLimits) -> DataF
         F.col("src").alias("far"), "dst", F.col("weight").alias("far_weight")
     )
     met = salted_join(ends, near, ["near"], ["prev", "cur"], graph.n_edges, limits)
-    # One row per successor of the smaller end. Many of them can ask for the same edge of a hub.
-    least = F.sum(F.least("prev_degree", "cur_degree"))
-    rows = states.agg(F.coalesce(least, F.lit(0))).first()[0]
     if rows > limits.min_rows:
         met = materialize(met, "met")
     met = lookup(met, other, ["far", "dst"], rows, limits=limits)
@@ -116,16 +168,17 @@ def transition_bias(
     rows = moves.count()
     weights = graph.edges.select(F.col("src").alias("cur"), "dst", "weight")
     known = graph.edges.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("common"))
-    totals = second_order_totals(graph, p, q, limits, moves).select("prev", "cur", "total")
+    states = materialize(moves.select("prev", "cur").distinct(), "asked")
+    totals = second_order_totals(graph, p, q, limits, states).select("prev", "cur", "total")
     bias = (
         F.when(F.col("dst") == F.col("prev"), F.col("weight") / p)
         .when(F.col("common"), F.col("weight"))
         .otherwise(F.col("weight") / q)
     )
-    moves = lookup(moves, weights, ["cur", "dst"], rows, limits=limits)
-    moves = lookup(moves, known, ["prev", "dst"], rows, "left", limits)
-    moves = lookup(moves, totals, ["prev", "cur"], rows, limits=limits)
-    return moves.select("prev", "cur", "dst", bias.alias("bias"), (bias / F.col("total")).alias("prob"))
+    found = lookup(moves, weights, ["cur", "dst"], rows, limits=limits)
+    found = lookup(found, known, ["prev", "dst"], rows, "left", limits, moves)
+    found = lookup(found, totals, ["prev", "cur"], rows, limits=limits, counted=moves)
+    return found.select("prev", "cur", "dst", bias.alias("bias"), (bias / F.col("total")).alias("prob"))
 
 
 def observed_transitions(walks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 
 from spreadrank import storage
 from spreadrank.operators import graph as g
-from spreadrank.operators import pagerank
+from spreadrank.operators import pagerank, second_order
 from spreadrank.operators.pagerank import NotConverged, compute_pagerank
 from spreadrank.operators.second_order import second_order_totals, transition_bias
 from spreadrank.operators.skew import hot_keys
@@ -194,3 +194,21 @@ def test_only_asked_states_are_worked_out(spark, five):
     asked = spark.createDataFrame([("a", "b"), ("c", "a"), ("a", "b"), ("x", "y")], "prev string, cur string")
     some = second_order_totals(five, asked=asked)
     assert {(r.prev, r.cur): r.total for r in some.collect()} == {k: whole[k] for k in [("a", "b"), ("c", "a")]}
+
+
+@pytest.mark.parametrize("packed", [0, 4, 256])
+def test_packed_and_listed_successors_agree(spark, monkeypatch, packed):
+    rows = [(f"n{i}", f"n{j}", 1.0 + (i * 5 + j) % 7 / 3) for i in range(12) for j in range(12) if i != j and (i * j + j) % 12 < i]
+    graph = g.graph_from_edges(spark.createDataFrame(rows, "src string, dst string, weight double"))
+    monkeypatch.setattr(second_order, "PACKED", packed)
+    for limits in (SkewLimits(), TINY):
+        totals = {(r.prev, r.cur): r.total for r in second_order_totals(graph, 2.0, 0.5, limits).collect()}
+        assert totals == pytest.approx(brute_force([tuple(r) for r in graph.edges.collect()], 2.0, 0.5)[0])
+
+
+def test_few_successors_are_not_listed_one_by_one(five, monkeypatch):
+    def listed(*args):
+        raise AssertionError("a row per successor")
+
+    monkeypatch.setattr(second_order, "salted_join", listed)
+    assert second_order_totals(five).count() == 5

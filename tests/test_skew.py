@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from spreadrank.operators.skew import hot_keys, lookup, salted_join
+from spreadrank.operators.skew import found_hot, hot_keys, lookup, salted_join
 from spreadrank.params import SkewLimits
 
 TINY = SkewLimits(min_rows=5, max_hot=100)
@@ -34,3 +34,13 @@ def test_hot_keys_are_few(left):
     # Also where the caller is far off with the number of rows.
     wrong = SkewLimits(min_rows=0, max_hot=1)
     assert [(r.k, r.n) for r in hot_keys(left, ["k"], 0, wrong).collect()] == [("hot", 50)]
+
+
+def test_hot_keys_of_two_columns(spark, left):
+    found = found_hot(left, ["k", "v"], 59, SkewLimits(min_rows=1, max_hot=100))
+    assert found is None
+    twice = left.unionByName(left.filter("v = 4")).unionByName(left.filter("v = 4"))
+    assert {(r.k, r.v): r.n for r in found_hot(twice, ["k", "v"], 59, SkewLimits(min_rows=2, max_hot=100)).collect()} == {
+        ("hot", 4): 3, ("warm", 4): 3,
+    }
+    assert found_hot(left, ["k"], 59, SkewLimits(min_rows=50, max_hot=100)) is None
