@@ -4,7 +4,7 @@ import pytest
 
 from spreadrank import storage
 from spreadrank.operators import graph as g
-from spreadrank.operators import pagerank, second_order
+from spreadrank.operators import pagerank, second_order, skew
 from spreadrank.operators.pagerank import NotConverged, compute_pagerank
 from spreadrank.operators.second_order import second_order_totals, transition_bias
 from spreadrank.operators.skew import hot_keys
@@ -212,3 +212,13 @@ def test_few_successors_are_not_listed_one_by_one(five, monkeypatch):
 
     monkeypatch.setattr(second_order, "salted_join", listed)
     assert second_order_totals(five).count() == 5
+
+
+def test_transitions_are_joined_once_without_hot_keys(spark, five, monkeypatch):
+    def branch(*args):
+        raise AssertionError("read a second time for keys that are not there")
+
+    monkeypatch.setattr(skew, "split_join", branch)
+    asked = spark.createDataFrame([("a", "b", "c"), ("a", "b", "e")], "prev string, cur string, dst string")
+    # More rows than the least that can be hot, but no key with so many.
+    assert transition_bias(five, asked, limits=SkewLimits(min_rows=1, max_hot=1)).count() == 2
