@@ -23,6 +23,8 @@ from spreadrank.workers import ship
 MOST_PIVOTS = 1024
 # Similarities are compared to this many digits, so equal vectors are ties wherever they lie.
 DIGITS = 12
+# Nodes asked for that are multiplied with a block at a time, and blocks of them that a task holds.
+NODES_AT_ONCE, MOST_HELD = 64, 32
 PACKED = "{0} long, {0}_ids array<string>, {0}_units array<double>, {0}_mean array<double>, {0}_width double"
 
 
@@ -36,7 +38,7 @@ def _pack(rows: DataFrame, name: str, key: str) -> DataFrame:
         mean = units.mean(axis=0)
         mean /= max(np.linalg.norm(mean), 1e-300)
         width = float(np.arccos(np.clip(units @ mean, -1, 1)).max()) + 1e-9
-        made = {name: [table.column(key)[0].as_py()], f"{name}_ids": [ids], f"{name}_units": [units.ravel().tolist()]}
+        made = {name: [table.column(key)[0].as_py()], f"{name}_ids": [ids], f"{name}_units": [units.ravel()]}
         return pa.table(made | {f"{name}_mean": [mean.tolist()], f"{name}_width": [width]})
 
     return rows.select("id", "unit", key).groupBy(key).applyInArrow(pack, PACKED.format(name))
@@ -74,8 +76,12 @@ class _Best:
         open_rows = np.flatnonzero(reach >= self.floor)
         if not len(open_rows):
             return
-        near = np.round(self.units[open_rows] @ units.T, DIGITS)
-        for at, scores in zip(open_rows, near):
+        for begin in range(0, len(open_rows), NODES_AT_ONCE):
+            some = open_rows[begin : begin + NODES_AT_ONCE]
+            self._take(some, np.round(self.units[some] @ units.T, DIGITS), ids)
+
+    def _take(self, rows: np.ndarray, near: np.ndarray, ids: list[str]) -> None:
+        for at, scores in zip(rows, near):
             best = self.found[at]
             # One more than asked for, since the node itself may be among them.
             k = min(len(scores), self.n + 1)
@@ -86,6 +92,17 @@ class _Best:
             if len(best) == self.n:
                 self.floor[at] = -best[-1][0]
 
+    def rows(self) -> pa.RecordBatch:
+        made = [(node, i, -s) for node, best in zip(self.ids, self.found) for s, i in best]
+        kinds = (pa.string(), pa.string(), pa.float64())
+        columns = zip(*made) if made else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "id", "similarity"])
+
+
+def _numbers(batch: pa.RecordBatch, name: str, at: int) -> np.ndarray:
+    """The array in a row, as it lies in the batch."""
+    return batch.column(name)[at].values.to_numpy()
+
 
 def most_similar_many(
     vectors: DataFrame, wanted: DataFrame, n: int = DEFAULTS.most_similar_n, block_rows: int = 8192, wanted_rows: int = 1024
@@ -112,18 +129,20 @@ def most_similar_many(
         met: dict[int, _Best] = {}
         for batch in batches:
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                own = met.get(row["asked"])
+                asked = batch.column("asked")[at].as_py()
+                own = met.get(asked)
                 if own is None:
-                    units = np.array(row["asked_units"]).reshape(len(row["asked_ids"]), -1)
-                    own = met[row["asked"]] = _Best(row["asked_ids"], units, n)
-                units = np.array(row["block_units"]).reshape(len(row["block_ids"]), -1)
-                own.meet(row["block_ids"], units, np.array(row["block_mean"]), row["block_width"])
+                    if len(met) == MOST_HELD:
+                        # What is left of a block of nodes here begins anew; the best of both are merged by rank.
+                        yield met.pop(next(iter(met))).rows()
+                    ids = batch.column("asked_ids")[at].as_py()
+                    # A copy, since a view would keep the whole batch.
+                    own = met[asked] = _Best(ids, _numbers(batch, "asked_units", at).reshape(len(ids), -1).copy(), n)
+                ids = batch.column("block_ids")[at].as_py()
+                units = _numbers(batch, "block_units", at).reshape(len(ids), -1)
+                own.meet(ids, units, _numbers(batch, "block_mean", at), batch.column("block_width")[at].as_py())
         for own in met.values():
-            made = [(node, i, -s) for node, best in zip(own.ids, own.found) for s, i in best]
-            kinds = (pa.string(), pa.string(), pa.float64())
-            columns = zip(*made) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "id", "similarity"])
+            yield own.rows()
 
     found = pairs.repartition("asked", "lot").drop("lot", "asked_mean", "asked_width").mapInArrow(run, schema)
     order = Window.partitionBy("node").orderBy(F.desc("similarity"), "id")
