@@ -114,3 +114,13 @@ def test_only_undecided_draws_are_looked_up(spark, q):
         assert r.asked >= differ and not (fixed and r.asked)
     asked = sum(r.asked for r in rows)
     assert asked <= (1 - min(q, 1 / q)) * 1001 + 2
+
+
+def test_shares_without_slices_need_one_shuffle(hub):
+    for limits in (SkewLimits(), SkewLimits(min_rows=1, max_hot=1)):
+        shares = w.cumulative_shares(hub.edges, hub.n_edges, limits)
+        assert shares._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    whole = {(r.src, r.dst): (r.lo, r.hi, r.degree) for r in shares.collect()}
+    sliced = w.cumulative_shares(hub.edges, hub.n_edges, TINY).collect()
+    assert {r.slice for r in sliced} != {0}
+    assert whole == {(r.src, r.dst): (r.lo, r.hi, r.degree) for r in sliced}
