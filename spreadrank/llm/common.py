@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -18,6 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Of the C library where it is glibc.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _held: dict[tuple, object] = {}
 
 
@@ -38,14 +43,29 @@ def map_arrow(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataF
 
     def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if module != __name__:
-            for other in [k for k in _held if k[0] != module]:
-                del _held[other]
+            drop_others(module)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(alone, schema)
 
 
+def drop_others(module: str) -> None:
+    """Begin a task of ``module`` without the tables of others, and without what tasks of other kinds have left."""
+    for other in [k for k in _held if k[0] != module]:
+        del _held[other]
+    give_back()
+
+
+def give_back() -> None:
+    """Return what is free to the system. A worker goes on to the tasks of other stages beside an executor whose own memory
+    stays as large as it has been, and what a task has dropped would else remain the worker's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def type_of(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
@@ -78,8 +98,7 @@ def per_row(
     names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for other in [k for k in _held if k[0] != make.__module__]:
-            del _held[other]
+        drop_others(make.__module__)
         work = make()
         for part in sliced(batches):
             arrays = work(part.column(at).to_pylist())

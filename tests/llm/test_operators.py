@@ -657,3 +657,25 @@ def test_result_columns_called_like_kept_ones(spark):
         assert made.columns[: len(names)] == names and all(c.endswith("_") for c in made.columns[len(names) :])
         assert len({c.lower() for c in made.columns}) == len(made.columns)
         assert [tuple(r)[: len(names)] for r in made.collect()] == [tuple(range(len(names)))] * 2
+
+
+def test_a_task_gives_back_what_it_has_dropped(spark, monkeypatch):
+    import gc
+    import weakref
+
+    from spreadrank.llm import common
+
+    class Ring:
+        pass
+
+    ring = Ring()
+    ring.self, seen = ring, weakref.ref(ring)
+    trimmed = []
+    monkeypatch.setattr(common, "_trim", trimmed.append)
+    gc.disable()
+    try:
+        del ring
+        common.give_back()
+        assert seen() is None and trimmed == [0]
+    finally:
+        gc.enable()
