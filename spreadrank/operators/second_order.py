@@ -11,7 +11,7 @@ of the other end and are intersected there; of the other edges each successor is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spreadrank.functions.columns import billionths
@@ -103,17 +103,33 @@ def _ends(states: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _with_packed(graph: Graph, states: DataFrame, rows: int, limits: SkewLimits) -> DataFrame:
-    """The ``rows`` states with ``shared``, the weight from ``cur`` to the successors of both ends, which have up to ``PACKED``."""
-    few = out_totals(graph.edges).filter(F.col("out_degree") <= PACKED).select("src")
+def _successors(graph: Graph, limits: SkewLimits) -> DataFrame:
+    """``(src, ids, weights, out_weight)``, written, of the nodes with up to ``PACKED`` successors."""
+    totals = out_totals(graph.edges)
+    few = totals.filter(F.col("out_degree") <= PACKED).select("src")
     packed = lookup(graph.edges, few, ["src"], graph.n_edges, limits=limits).filter(F.col("dst").isNotNull())
-    # Written, since both ends read it.
-    packed = materialize(
-        packed.groupBy("src")
-        .agg(F.collect_list(F.struct("dst", "weight")).alias("to"))
-        .select("src", F.col("to.dst").alias("ids"), F.col("to.weight").alias("weights")),
-        "successors",
+    packed = packed.groupBy("src").agg(
+        F.collect_list(F.struct("dst", "weight")).alias("to"), F.sum(billionths(F.col("weight"))).cast("double").alias("out_weight")
     )
+    return materialize(
+        packed.select("src", F.col("to.dst").alias("ids"), F.col("to.weight").alias("weights"), "out_weight"), "successors"
+    )
+
+
+def _shared(both: Column, ids: Column, weights: Column) -> Column:
+    """The sum of the ``weights`` to the nodes in ``both``, each in the place that it has in ``ids``.
+
+    Added up as decimals, see ``billionths``; this width leaves room for a sum of ``PACKED`` of them."""
+    return F.aggregate(
+        both,
+        F.lit(0).cast("decimal(37,9)"),
+        lambda sum_, x: (sum_ + billionths(F.element_at(weights, F.array_position(ids, x).cast("int")))).cast("decimal(37,9)"),
+    ).cast("double")
+
+
+def _with_packed(graph: Graph, states: DataFrame, rows: int, limits: SkewLimits) -> DataFrame:
+    """The ``rows`` states with ``shared``, the weight from ``cur`` to the successors of both ends, which have up to ``PACKED``."""
+    packed = _successors(graph, limits)
     wide = SkewLimits(min(limits.min_rows, MOST_WIDE), min(limits.max_hot, MOST_WIDE_KEYS))
     ends = _ends(states, "out_weight", "back")
     # What is on the way to the other end: the weights only if they are those of ``cur``.
@@ -126,14 +142,8 @@ def _with_packed(graph: Graph, states: DataFrame, rows: int, limits: SkewLimits)
 
     ids = F.when(F.col("from_prev"), F.col("far_ids")).otherwise(F.col("near_ids"))
     weights = F.when(F.col("from_prev"), F.col("far_weights")).otherwise(F.col("near_weights"))
-    both = F.array_intersect("near_ids", "far_ids")
-    # Added up as decimals, see ``billionths``; this width leaves room for a sum of ``PACKED`` of them.
-    shared = F.aggregate(
-        F.col("both"),
-        F.lit(0).cast("decimal(37,9)"),
-        lambda sum_, x: (sum_ + billionths(F.element_at(weights, F.array_position(ids, x).cast("int")))).cast("decimal(37,9)"),
-    )
-    return met.withColumn("both", both).withColumn("shared", shared.cast("double"))
+    shared = _shared(F.array_intersect("near_ids", "far_ids"), ids, weights)
+    return met.withColumn("shared", shared)
 
 
 def _shared_weight(graph: Graph, states: DataFrame, rows: int, limits: SkewLimits) -> DataFrame:
@@ -162,22 +172,87 @@ def transition_bias(
 ) -> DataFrame:
     """Biased weight and probability of given ``(prev, cur, dst)`` transitions.
 
-    Transitions whose ``cur -> dst`` is no edge are left out.
+    Transitions whose ``cur -> dst`` is no edge are left out, as are those whose ``prev -> cur`` is none. Where both ends have up to
+    ``PACKED`` successors the transitions of a state travel as one row.
     """
-    moves = materialize(transitions.select("prev", "cur", "dst").distinct(), "moves")
+    moves = transitions.select("prev", "cur", "dst")
+    wide = out_totals(graph.edges).filter(F.col("out_degree") > PACKED).select("src", F.lit(True).alias("wide"))
+    wide = materialize(wide, "wide")
+    n_wide = wide.count()
+    if not n_wide:
+        return _bias_packed(graph, moves, p, q, limits)
+    # Written, since both kinds of states read it.
+    moves = materialize(moves.distinct(), "moves")
+    rows = moves.count() if n_wide > limits.max_hot else 0
+    marked = moves
+    for end in ("prev", "cur"):
+        ends = wide.select(F.col("src").alias(end), F.col("wide").alias(f"{end}_wide"))
+        if n_wide > limits.max_hot:
+            marked = lookup(marked, ends, [end], rows, "left", limits, moves)
+        else:
+            marked = marked.join(F.broadcast(ends), end, "left")
+    marked = marked.withColumn("wide", F.coalesce("prev_wide", "cur_wide", F.lit(False)))
+    marked = materialize(marked.select("prev", "cur", "dst", "wide"), "marked")
+    few = _bias_packed(graph, marked.filter(~F.col("wide")), p, q, limits)
+    return few.unionByName(_bias_listed(graph, marked.filter("wide").select("prev", "cur", "dst"), p, q, limits))
+
+
+def _without_comma(node: Column) -> Column:
+    return F.replace(F.replace(node, F.lit("~"), F.lit("~0")), F.lit(","), F.lit("~1"))
+
+
+def _bias(p: float, q: float, dst: Column, prev: Column, weight: Column, common: Column) -> Column:
+    return F.when(dst == prev, weight / p).when(common, weight).otherwise(weight / q)
+
+
+def _bias_packed(graph: Graph, moves: DataFrame, p: float, q: float, limits: SkewLimits) -> DataFrame:
+    """``transition_bias`` of moves, some of them repeated, between nodes of up to ``PACKED`` successors: the state's moves and the
+    successors of ``prev`` travel as arrays to those of ``cur``, where all is known."""
+    out = _successors(graph, limits)
+    # A row a state, so that its key columns and the successors of ``prev`` travel once for all of its moves.
+    states = moves.groupBy("prev", "cur").agg(F.collect_set("dst").alias("dsts"))
+    states = materialize(states, "asked")
+    rows = states.count()
+    wide = SkewLimits(min(limits.min_rows, MOST_WIDE), min(limits.max_hot, MOST_WIDE_KEYS))
+    from_prev = out.select(F.col("src").alias("prev"), "ids")
+    met = lookup(states, from_prev, ["prev"], rows, limits=wide).filter(F.array_contains("ids", F.col("cur")))
+    # On the way as one text, which is half as long as an array of them.
+    met = met.select("prev", "cur", "dsts", F.array_join(F.transform("ids", _without_comma), ",").alias("listed"))
+    from_cur = out.select(F.col("src").alias("cur"), "ids", "weights", "out_weight", F.transform("ids", _without_comma).alias("codes"))
+    met = lookup(met, from_cur, ["cur"], rows, limits=wide, counted=states).withColumn("prev_codes", F.split("listed", ",", -1))
+
+    def weight_to(node: Column) -> Column:
+        return F.element_at("weights", F.array_position("ids", node).cast("int"))
+
+    back = F.when(F.array_contains("ids", F.col("prev")), weight_to(F.col("prev"))).otherwise(F.lit(0.0))
+    shared = _shared(F.array_intersect("prev_codes", "codes"), F.col("codes"), F.col("weights"))
+    total = F.col("back") / p + F.col("shared") + (F.col("out_weight") - F.col("back") - F.col("shared")) / q
+    edges = F.filter("dsts", lambda d: F.array_contains("ids", d))
+    moved = F.transform(
+        edges,
+        lambda d: F.struct(
+            d.alias("dst"), _bias(p, q, d, F.col("prev"), weight_to(d), F.array_contains("prev_codes", _without_comma(d))).alias("bias")
+        ),
+    )
+    weighed = met.withColumns({"back": back, "shared": shared, "moved": moved}).select(
+        "prev", "cur", total.alias("total"), F.explode("moved").alias("move")
+    )
+    return weighed.select(
+        "prev", "cur", "move.dst", "move.bias", (F.col("move.bias") / F.col("total")).alias("prob")
+    )
+
+
+def _bias_listed(graph: Graph, moves: DataFrame, p: float, q: float, limits: SkewLimits) -> DataFrame:
+    """``transition_bias`` of distinct moves, one row each, which are written."""
     rows = moves.count()
     weights = graph.edges.select(F.col("src").alias("cur"), "dst", "weight")
     known = graph.edges.select(F.col("src").alias("prev"), "dst", F.lit(True).alias("common"))
     states = materialize(moves.select("prev", "cur").distinct(), "asked")
     totals = second_order_totals(graph, p, q, limits, states).select("prev", "cur", "total")
-    bias = (
-        F.when(F.col("dst") == F.col("prev"), F.col("weight") / p)
-        .when(F.col("common"), F.col("weight"))
-        .otherwise(F.col("weight") / q)
-    )
     found = lookup(moves, weights, ["cur", "dst"], rows, limits=limits)
     found = lookup(found, known, ["prev", "dst"], rows, "left", limits, moves)
     found = lookup(found, totals, ["prev", "cur"], rows, limits=limits, counted=moves)
+    bias = _bias(p, q, F.col("dst"), F.col("prev"), F.col("weight"), F.col("common"))
     return found.select("prev", "cur", "dst", bias.alias("bias"), (bias / F.col("total")).alias("prob"))
 
 

@@ -222,3 +222,47 @@ def test_transitions_are_joined_once_without_hot_keys(spark, five, monkeypatch):
     asked = spark.createDataFrame([("a", "b", "c"), ("a", "b", "e")], "prev string, cur string, dst string")
     # More rows than the least that can be hot, but no key with so many.
     assert transition_bias(five, asked, limits=SkewLimits(min_rows=1, max_hot=1)).count() == 2
+
+
+def moves_of_all_states(spark, edges):
+    """Every (prev, cur, dst) of an edge and any node, some of them twice, and states that are no edge."""
+    nodes = sorted({e[0] for e in edges} | {e[1] for e in edges})
+    asked = [(a, b, c) for a, b, _ in edges for c in nodes] + [(nodes[0], nodes[0], nodes[1]), (nodes[-1], nodes[0], None)]
+    return spark.createDataFrame(asked + asked[:5], "prev string, cur string, dst string")
+
+
+def test_transitions_of_a_state_travel_as_one_row(spark, five, monkeypatch):
+    asked = moves_of_all_states(spark, [tuple(r) for r in five.edges.collect()])
+
+    def looked_up(*args):
+        raise AssertionError("a row for each transition")
+
+    monkeypatch.setattr(second_order, "second_order_totals", looked_up)
+    assert transition_bias(five, asked).count() > 0
+
+
+@pytest.mark.parametrize("packed, max_hot", [(0, 100_000), (1, 100_000), (2, 100_000), (2, 0), (256, 100_000)])
+def test_biases_are_the_same_by_row_and_by_state(spark, monkeypatch, packed, max_hot):
+    edges = [
+        ("a", "b,", 0.1), ("a", "~1", 0.7), ("a", "d", 1.3), ("b,", "a", 0.4), ("b,", "d", 0.2), ("b,", "~1", 2.0), ("~1", "a", 0.3), ("~1", "~1", 0.6), ("d", "", 5.0), ("", "d", 0.9),
+    ]
+    weight = {(a, b): w for a, b, w in edges}
+    graph = g.graph_from_edges(spark.createDataFrame(edges, "src string, dst string, weight double"))
+    asked = moves_of_all_states(spark, edges)
+    p, q = 4.0, 0.5
+
+    def bias(a, b, c):
+        return weight[b, c] / p if c == a else weight[b, c] if (a, c) in weight else weight[b, c] / q
+
+    expected = {}
+    for a, b, _ in edges:
+        each = {c: bias(a, b, c) for (s, c) in weight if s == b}
+        # A node that is both the previous one and a successor of it counts in the total as shared too.
+        total = sum(
+            weight[b, c] * ((c == a) / p + ((a, c) in weight) + (1 - (c == a) - ((a, c) in weight)) / q) for c in each
+        )
+        expected |= {(a, b, c): (w, w / total) for c, w in each.items()}
+    monkeypatch.setattr(second_order, "PACKED", packed)
+    found = transition_bias(graph, asked, p, q, SkewLimits(max_hot=max_hot)).collect()
+    assert len(found) == len(expected)
+    assert {(r.prev, r.cur, r.dst): (pytest.approx(r.bias), pytest.approx(r.prob)) for r in found} == expected
