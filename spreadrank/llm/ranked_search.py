@@ -6,10 +6,10 @@ the impact of the count at a query term's place is at least the term's own, and
 bound of the document's score. A sketch is as wide as the power of two next to ``FILL`` places a distinct term, so
 long documents are bounded as closely as short ones; counts above 254 are kept as 255, which stands for any.
 
-A search reads the index once for each batch of items. A task looks up the bounds of a chunk of documents for all items of
-the batch together, as one product of matrices, and goes through each item's documents by descending bound:
-these are scored exactly, until the bound is below the worst of the best ``k`` the task has seen. The tasks' best are merged.
-Nothing but bounds ends a search.
+A search reads the index once for every ``BATCHES_PER_PASS`` batches of items. A task looks up what the impact of each of their terms
+is at most in a chunk of documents; the bounds of an item are the product of its weights with the rows of its own terms. It
+goes through each item's documents by descending bound: these are scored exactly, until the bound is below the worst of the best ``k``
+the task has seen. The tasks' best are merged. Nothing but bounds ends a search.
 
 Scores are whole numbers: with N documents that have terms, L their terms, n a document's, df and tf as usual, a term weighs
 ``w = floor(1000 * ln((2N + 2) / (2 df + 1)))``, ``m = 50 + (50 n N) div L``, and the score is the sum of
@@ -20,7 +20,8 @@ have none, are counted nowhere and are never found; an item without terms finds
 of its own, so repeated rows have a rank each; of equal scores the smaller id comes first and null ids last. Items with the same
 id (null is an id) are one item with the terms of all. Empty tables give an empty result. Only the id and the text are read, so
 other columns may have any name. A text is handled whole: a task holds one text's terms and a sketch of up to 16 bytes
-for each of them, and a batch of items holds ``batch_terms`` terms in expectation, or one item if that has more.
+for each of them, and a batch of items holds ``batch_terms`` terms in expectation, or one item if that has more. A chunk has fewer documents if the items have many
+distinct terms, so a task's two tables of impacts have some ``CELLS`` numbers each.
 """
 
 from __future__ import annotations
@@ -41,8 +42,14 @@ from spreadrank.storage import materialize
 FILL = 8
 LEAST_WIDTH = 64
 ANY_COUNT = 255
-# Documents whose bounds are looked up together.
-CHUNK = 256
+# The most documents whose bounds are looked up together, the least, and the numbers that a task holds for those between.
+CHUNK = 1024
+LEAST_CHUNK = 32
+CELLS = 1 << 21
+CHUNK_BYTES = 8 << 20
+
+# Batches of items that share a reading of the index.
+BATCHES_PER_PASS = 16
 
 # Separators become blanks and A-Z lower case; bytes of UTF-8 sequences stay.
 _TABLE = bytes(
@@ -119,12 +126,6 @@ class Batch:
         self.items = sorted(asked, key=lambda i: (i is None, i))
         self.asked = [tuple(np.array(c, np.int64) for c in zip(*sorted(asked[i]))) for i in self.items]
 
-    def weights(self) -> np.ndarray:
-        made = np.zeros((len(self.terms), len(self.items)))
-        for i, (at, weight) in enumerate(self.asked):
-            made[at, i] = weight
-        return made
-
 
 def impact(counts: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (1_000_000_000 * counts) // (1000 * counts + 20 * m)
@@ -156,53 +157,69 @@ class Search:
 
     def __init__(self, batch: Batch, n_docs: int, n_terms: int, k: int):
         self.batch, self.n_docs, self.n_terms = batch, n_docs, n_terms
-        self.weights = batch.weights()
+        self.chunk_rows = max(LEAST_CHUNK, min(CHUNK, CELLS // max(1, len(batch.terms))))
+        # Impacts and weights are whole numbers below 2^24. The margin covers the rounding of as many additions in single precision.
+        self.raised = [(weight * (1 + 2.0**-23 * (16 + len(weight)))).astype(np.float32) for _, weight in batch.asked]
         self.value_set = pa.array(batch.terms, pa.string())
         self.best = [Best(k) for _ in batch.items]
 
-    def bounds(self, sketches: list[bytes], m: np.ndarray) -> np.ndarray:
-        """Upper bounds, a row per document and a column per item."""
-        most = np.zeros((len(sketches), len(self.batch.terms)))
+    def most(self, sketches: list[bytes], m: np.ndarray) -> np.ndarray:
+        """What the impact of each term of the batch is at most, a row per term and a column per document."""
+        made = np.empty((len(self.batch.terms), len(sketches)), np.float32)
         widths = np.array([len(s) for s in sketches])
         for width in np.unique(widths):
-            rows = np.flatnonzero(widths == width)
-            held = np.frombuffer(b"".join(sketches[i] for i in rows), np.uint8).reshape(len(rows), width)
-            counts = held[:, self.batch.hashes & (int(width) - 1)]
-            r, c = np.nonzero(counts)
-            found = counts[r, c].astype(np.int64)
-            most[rows[r], c] = np.where(found == ANY_COUNT, 1_000_000, impact(found, m[rows[r]]))
-        return most @ self.weights
+            columns = np.flatnonzero(widths == width)
+            held = np.frombuffer(b"".join(sketches[i] for i in columns), np.uint8).reshape(len(columns), width)
+            counts = np.ascontiguousarray(held.T)[self.batch.hashes & (int(width) - 1)]
+            bound = counts.astype(np.float32)
+            bound /= bound + (m[columns] * 0.02).astype(np.float32)
+            bound *= 1e6
+            bound[counts == ANY_COUNT] = 1e6
+            if columns[-1] - columns[0] + 1 == len(columns):
+                made[:, columns[0] : columns[-1] + 1] = bound
+            else:
+                made[:, columns] = bound
+        return made
+
+    def bounds(self, sketches: list[bytes], m: np.ndarray) -> np.ndarray:
+        """Upper bounds, a row per document and a column per item."""
+        most = self.most(sketches, m)
+        return np.array([raised @ most[at] for raised, (at, _) in zip(self.raised, self.batch.asked)]).T
 
     def impacts(self, part: pa.RecordBatch, rows: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """The impact of each term of the batch in each of the documents ``rows``."""
+        """The impact of each term of the batch in each of the documents ``rows``, a row per document."""
         held = part.take(pa.array(rows))
         terms = pc.split_pattern(held.column(2), " ")
         doc = np.repeat(np.arange(len(rows)), np.diff(terms.offsets.to_numpy()))
         code = pc.index_in(terms.flatten(), self.value_set)
         known = code.is_valid().to_numpy(zero_copy_only=False)
         counts = np.frombuffer(b"".join(held.column(3).to_pylist()), np.int64)[known]
-        made = np.zeros((len(rows), len(self.batch.terms)), np.int64)
-        made[doc[known], code.drop_null().to_numpy()] = impact(counts, m[rows][doc[known]])
-        return made
+        made = np.zeros((len(self.batch.terms), len(rows)), np.float32)
+        made[code.drop_null().to_numpy(), doc[known]] = impact(counts, m[rows][doc[known]])
+        return made.T
 
     def chunk(self, part: pa.RecordBatch) -> None:
+        # Sketches of one width beside each other.
+        part = part.take(pa.array(np.argsort(pc.binary_length(part.column(4)).to_numpy(), kind="stable")))
         m = 50 + (50 * part.column(1).to_numpy() * self.n_docs) // self.n_terms
-        # Whole numbers below 2^53 are exact; beyond, the margin covers the rounding.
-        bounds = self.bounds(part.column(4).to_pylist(), m) * (1 + 1e-9)
-        in_play = bounds >= np.array([b.floor for b in self.best])
-        rows = np.flatnonzero(in_play.any(axis=1))
-        if not len(rows):
-            return
-        ids, bounds, impacts = part.column(0).take(pa.array(rows)), bounds[rows], self.impacts(part, rows, m)
-        nulls = ids.is_null().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
-        for i in np.flatnonzero(in_play.any(axis=0)):
-            best, (at, weight) = self.best[i], self.batch.asked[i]
-            order = np.argsort(-bounds[:, i], kind="stable")
-            ranked, step, start = bounds[order, i], 32, 0
-            while start < len(order) and ranked[start] >= best.floor:
-                own = order[start : start + step][ranked[start : start + step] >= best.floor]
-                best.add(impacts[np.ix_(own, at)] @ weight, ids[own], nulls[own])
+        nulls = part.column(0).is_null().to_numpy(zero_copy_only=False)
+        ids = part.column(0).fill_null(0).to_numpy()
+        most, impacts = self.most(part.column(4).to_pylist(), m), None
+        for best, raised, (at, weight) in zip(self.best, self.raised, self.batch.asked):
+            bounds = raised @ most.take(at, 0)
+            rows = np.flatnonzero(bounds >= best.floor)
+            if not len(rows):
+                continue
+            if impacts is None:
+                impacts = self.impacts(part, np.arange(part.num_rows), m).T
+            own_impacts = impacts.take(at, 0)
+            # In single precision, rounded up; what is left is scored in whole numbers.
+            rows = rows[(raised @ own_impacts)[rows] >= best.floor]
+            rows = rows[np.argsort(-bounds[rows], kind="stable")]
+            step, start = 64, 0
+            while start < len(rows) and bounds[rows[start]] >= best.floor:
+                own = rows[start : start + step]
+                best.add(weight @ own_impacts.take(own, 1).astype(np.int64), ids[own], nulls[own])
                 start, step = start + step, step * 2
 
     def results(self) -> pa.RecordBatch:
@@ -221,9 +238,10 @@ def search_batch(index: DataFrame, rows: list, n_docs: int, n_terms: int, k: int
 
     def run(batches):
         search = Search(batch.value, n_docs, n_terms, k)
-        for part in sliced(batches):
-            for at in range(0, part.num_rows, CHUNK):
-                search.chunk(part.slice(at, CHUNK))
+        for part in batches:
+            step = max(1, min(search.chunk_rows, part.num_rows * CHUNK_BYTES // max(1, part.nbytes)))
+            for at in range(0, part.num_rows, step):
+                search.chunk(part.slice(at, step))
         yield search.results()
 
     return map_arrow(index, run, "item_id long, doc_id long, score long")
@@ -247,8 +265,8 @@ def ranked_search(
     count = -(-asked.count() // batch_terms)
     dealt = asked.withColumn("batch", F.pmod(F.xxhash64("item_id"), F.lit(max(1, count))))
     found = [spark.createDataFrame([], "item_id long, doc_id long, score long")]
-    for b in range(count):
-        rows = dealt.filter(F.col("batch") == b).collect()
+    for b in range(0, count, BATCHES_PER_PASS):
+        rows = dealt.filter(F.col("batch").between(b, b + BATCHES_PER_PASS - 1)).collect()
         if rows:
             found.append(materialize(search_batch(index, rows, n_docs, n_terms, k), "found"))
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

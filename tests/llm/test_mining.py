@@ -183,6 +183,60 @@ def test_ranked_search_of_little(spark):
     assert searched(spark, [(1, None), (2, "")], ITEMS) == Counter()
 
 
+def test_batches_of_items_share_a_reading_of_the_index(spark, monkeypatch):
+    docs, read, search = odd_docs(), [], ranked_search.search_batch
+
+    def counted(index, rows, *settings):
+        read.append({r.item_id for r in rows})
+        return search(index, rows, *settings)
+
+    monkeypatch.setattr(ranked_search, "search_batch", counted)
+    items = [(i, f"wort{i} wort{i + 1}") for i in range(20)]
+    assert searched(spark, docs, items, k=2, batch_terms=4) == brute_search(docs, items, 2)
+    # 40 terms make ten batches.
+    assert len(read) == 1
+    monkeypatch.setattr(ranked_search, "BATCHES_PER_PASS", 3)
+    assert searched(spark, docs, items, k=2, batch_terms=4) == brute_search(docs, items, 2)
+    assert 2 <= len(read[1:]) <= 4 and set.union(*read[1:]) == set(range(20))
+
+
+def test_chunks_of_any_size_find_the_same(spark):
+    index = ranked_search.build_index(texts(spark, odd_docs(), "doc_id")).toArrow().combine_chunks().to_batches()[0]
+    many = " ".join(f"wort{i}" for i in range(300)) + " x a17"
+
+    class Row:
+        def __init__(self, item_id, term, weight):
+            self.item_id, self.term, self.weight = item_id, term, weight
+
+    # Weights up to the greatest, and so many terms that single precision rounds.
+    rows = [Row(i, t, 1 + (i * 7919 + j * 104729) % 16_000_000) for i in range(6) for j, t in enumerate(many.split()[i::2])]
+    batch, n_terms, made = ranked_search.Batch(rows), sum(index.column(1).to_pylist()), []
+    for step in 7, 64, index.num_rows:
+        search = ranked_search.Search(batch, index.num_rows, n_terms, 20)
+        for at in range(0, index.num_rows, step):
+            search.chunk(index.slice(at, step))
+        made.append(search.results().to_pylist())
+    m = 50 + (50 * index.column(1).to_numpy() * index.num_rows) // n_terms
+    impacts = search.impacts(index, np.arange(index.num_rows), m).astype(np.int64)
+    exact = np.array([impacts[:, at] @ weight for at, weight in batch.asked]).T
+    assert (search.bounds(index.column(4).to_pylist(), m) >= exact).all()
+    best = -np.sort(-exact, axis=0)[:20].T
+    for found in made:
+        assert [r["score"] for r in found] == [v for scores in best.tolist() for v in scores if v > 0]
+        assert Counter(map(str, found)) == Counter(map(str, made[0]))
+
+
+def test_chunks_shrink_with_the_terms_of_the_items():
+    def search(n):
+        batch = ranked_search.Batch([])
+        batch.terms = [f"t{i}" for i in range(n)]
+        return ranked_search.Search(batch, 1, 1, 1)
+
+    assert search(10).chunk_rows == ranked_search.CHUNK
+    assert 32 < search(10_000).chunk_rows <= ranked_search.CELLS // 10_000
+    assert search(1_000_000).chunk_rows == ranked_search.LEAST_CHUNK
+
+
 def test_sketches_bound_the_scores_and_prune(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
     text_of = dict(docs)
